@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,8 +40,6 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     if named:
         return named
     if fallback is None:
-        import tempfile
-
         fallback = tempfile.mkdtemp(prefix="millrace-")
     return fallback
 
@@ -47,3 +49,17 @@ def ensure_checkpoint(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(checkpoint_dir(spark))
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a context, so they need no install of it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_millrace_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="millrace-")) / "millrace.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(path))  # the driver serves the file; executors fetch it
+    sc._millrace_shipped = True
