@@ -6,6 +6,7 @@ import argparse
 import sys
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
@@ -60,7 +61,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("millrace").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
         run(args, spark)
-    except (MillraceError, PySparkException, OSError) as e:
+    except (MillraceError, PySparkException, Py4JJavaError, OSError) as e:
         print(f"{getattr(e, 'code', type(e).__name__)}: {str(e).splitlines()[0]}", file=sys.stderr)
         return 1
     return 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,8 @@ def read_cells(spark: SparkSession, path: str, width: int, multi_line: bool = Tr
     """Headerless CSV as text cells ``c0``...; a wrong number of cells or an unclosed quote fails the read.
 
     ``multi_line`` allows line breaks in quoted cells, for which a file is read
-    as a whole; without it large files are split among tasks.
+    as a whole; without it large files are split among tasks.  The line ends of a
+    file must be of one kind.
     """
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
     cells = spark.read.csv(path, schema=schema, header=False, multiLine=multi_line, escape='"', mode="FAILFAST", maxCharsPerColumn=-1, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, enforceSchema=True)
@@ -66,7 +68,7 @@ def infer_schema(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     ]
     try:
         fits = cells.agg(*tests).collect()[0]
-    except PySparkException as e:
+    except (PySparkException, Py4JJavaError) as e:
         raise MalformedData(str(e).splitlines()[0]) from e
     return [(f"column_{i}", next((k for k in INFERENCE if k == "string" or fits[f"{c}_{k}"] == 1), "string")) for i, c in enumerate(cells.columns, 1)]
 
@@ -74,7 +76,7 @@ def infer_schema(spark: SparkSession, path: str) -> list[tuple[str, str]]:
 def _text(spark: SparkSession, path: str) -> str:
     try:
         return "\n".join(r[0] for r in spark.read.text(path).collect())  # a schema file: a row for each column
-    except PySparkException as e:
+    except (PySparkException, Py4JJavaError) as e:
         raise IoFailure(f"cannot read {path}") from e
 
 
