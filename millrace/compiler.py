@@ -191,8 +191,9 @@ def _aggregates(node: object) -> list[Agg]:
     return []
 
 
-def _built(agg: Agg, scope: Scope, whole: bool) -> Column:
-    """The aggregate's Column; ``whole`` for a query without groups."""
+def _built(agg: Agg, scope: Scope, whole: bool, shared: dict[Expr, tuple[Column, Column]]) -> Column:
+    """The aggregate's Column; ``whole`` for a query without groups; ``shared`` keeps the
+    sum and count that linear sums of one column have in common."""
     if isinstance(agg.arg, Star):
         return F.count(F.lit(1))
     column, kind = scope.value(agg.arg)
@@ -209,8 +210,15 @@ def _built(agg: Agg, scope: Scope, whole: bool) -> Column:
     if isinstance(linear, Arith) and isinstance(linear.left, Ref) and isinstance(linear.right, Num) and linear.right.text.isdigit():
         # SUM(c + k) = SUM(c) + k * COUNT(c): many of them share two accumulators
         base, base_kind = scope.value(linear.left)
-        shift = F.lit(int(linear.right.text) * (1 if linear.op == "+" else -1)).cast(fn.WIDE)
-        return (fn.total(base, base_kind) + (shift * F.count(base)).cast(fn.WIDE)).cast(fn.WIDE)
+        shift = int(linear.right.text) * (1 if linear.op == "+" else -1)
+        narrow = isinstance(base_kind, (T.ShortType, T.IntegerType)) and abs(shift) < 1 << 31
+        if linear.left not in shared:
+            plain = F.coalesce(F.sum(base.cast("bigint")), F.lit(0)) if narrow else fn.total(base, base_kind)
+            shared[linear.left] = plain, F.count(base)
+        plain, count = shared[linear.left]
+        if narrow:
+            return (plain + count * shift).cast(fn.WIDE)
+        return (plain.cast(fn.WIDE) + (F.lit(shift).cast(fn.WIDE) * count).cast(fn.WIDE)).cast(fn.WIDE)
     return fn.total(column, kind)
 
 
@@ -329,7 +337,8 @@ def _grouped(query: Query, df: DataFrame, scope: Scope, offset: int) -> DataFram
         column, kind = scope.value(key)
         key_columns.append(column.alias(f"k{i}"))
         done.setdefault(_unqualified(key), (F.col(f"k{i}"), kind))
-    built = [_built(a, scope, not keys).alias(f"a{i}") for i, a in enumerate(aggs)]
+    shared: dict[Expr, tuple[Column, Column]] = {}
+    built = [_built(a, scope, not keys, shared).alias(f"a{i}") for i, a in enumerate(aggs)]
     for i, a in enumerate(aggs):
         done[_unqualified(a)] = (F.col(f"a{i}"), _kind_of(a, scope))
     if keys:

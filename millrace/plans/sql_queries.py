@@ -11,7 +11,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.engine import Engine
@@ -34,7 +33,7 @@ class Case:
         engine.register_table(self.table, table(spark, d, self.table))
         out = engine.sql(self.dialect).toDF(*self.names)
         # the oracle has no 38-digit sums: both sides give 64-bit integers
-        return out.select(*[F.col(f.name).cast("bigint") if isinstance(f.dataType, T.DecimalType) else F.col(f.name) for f in out.schema.fields])
+        return out.selectExpr(*[f"cast({f.name} as bigint) {f.name}" if isinstance(f.dataType, T.DecimalType) else f.name for f in out.schema.fields])
 
     def sql(self) -> str:
         if not self.tail:
