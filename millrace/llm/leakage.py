@@ -21,7 +21,7 @@ corpus a block, so what is broadcast does not grow with either table.
 Defined results
 * Null and empty texts and items match nothing.  Items shorter than a passage
   must be contained whole (all words, the same tolerance).
-* Repeated rows give repeated cases for different ids, one for equal ids.
+* Every row is searched by itself: repeated rows give repeated cases.
 * Whole texts are read, whatever their length; empty tables give no rows;
   columns other than id and text are never read.
 """
