@@ -12,8 +12,7 @@ and so do instances never seeded that stand in them.  The scored parts then
 decide every candidate of every text; within a text, a surname that a full or
 titled name has introduced is found again where it stands alone.
 
-The scores are a classifier, fitted on a sample of at most about ``FIT_TEXTS`` texts
-with their bootstrapped labels; every text is then searched whole.
+The scores come from the counts of all texts; every text is then searched whole.
 
 Parts are kept if they make up at least ``SHARE`` of the mentions of their
 class, so at most ``1 / SHARE`` instances and twice as many patterns a class
@@ -51,8 +50,6 @@ TYPES = ("email", "phone", "id_number", "street_address", "person_name")
 ROUNDS = 4
 SHARE = 2e-5
 ACCEPT = 0.5
-#: Texts that the scores are fitted on; finding and redacting always cover all texts.
-FIT_TEXTS = 20_000
 PRIOR = 0.15
 #: A first word is seeded as a given name, or as none, by the share of its mentions whose last word is introduced.
 GIVEN_YES, GIVEN_NO = 0.3, 0.05
@@ -311,8 +308,8 @@ class Knowledge:
         return Knowledge(*[{q: {v: _logit(x) - base for v, x in own.items()} for q, own in t.items()} for t in (self.instance, self.before, self.after)])
 
 
-def learn(df: DataFrame, text: str, rounds: int = ROUNDS, share: float = SHARE, fit_texts: int = FIT_TEXTS) -> Knowledge:
-    """Scores, fitted on all texts or, of more than ``fit_texts``, on about so many."""
+def learn(df: DataFrame, text: str, rounds: int = ROUNDS, share: float = SHARE) -> Knowledge:
+    """Scores, from the counts of all texts."""
     arrow = pa.schema([("cls", pa.string()), ("i", pa.string()), ("l", pa.string()), ("r", pa.string()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,9 +324,6 @@ def learn(df: DataFrame, text: str, rounds: int = ROUNDS, share: float = SHARE,
 
     spark = df.sparkSession
     ensure_checkpoint(spark)
-    have = df.count()
-    if have > fit_texts:
-        df = df.sample(fit_texts / have, seed=7)
     counted = spread(df.select(F.col(text).cast("string").alias("t")).filter(F.col("t") != "")).mapInArrow(count, "cls string, i string, l string, r string, n bigint")
     combos = counted.groupBy("cls", "i", "l", "r").agg(F.sum("n").alias("n")).checkpoint()
     totals = combos.groupBy("cls").agg(F.sum("n").alias("total"))

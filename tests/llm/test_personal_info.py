@@ -97,3 +97,12 @@ def test_wraps_and_decomposed_letters(corpus):
     text = "Mr Zieselmöller called; tel. (555)\r\n555-0150; N.N.\nThe Wickham Energy Ltd paid. National Insurance no. QQ 12 34 56 C. The rest."
     got = [(k, text[a:b]) for k, a, b in e.find(text)]
     assert got == [("person_name", "Zieselmöller"), ("phone", "(555)\r\n555-0150"), ("id_number", "QQ 12 34 56 C")]
+
+
+def test_fit_counts_every_text(spark, corpus):
+    df, _, known = corpus
+    more = spark.range(40_000).selectExpr("id as doc_id", "'' as text", "'' as pii_type")
+    got = op.learn(df.unionByName(more), "text")
+    for mine, all_texts in ((got.instance, known.instance), (got.before, known.before), (got.after, known.after)):
+        for q, scores in all_texts.items():
+            assert mine[q] == pytest.approx(scores)
