@@ -9,7 +9,8 @@ are a graph, on which Spark propagates scores: a mention's odds are the
 prior odds times those of its parts over the prior, a part scores the mean of its
 mentions, seeds stay fixed.  After ``ROUNDS`` rounds contexts that surround seeds have high scores,
 and so do instances never seeded that stand in them.  The scored parts then
-decide every candidate of every text; within a text, a surname that a full or
+decide every candidate of every text, also a full name whose first word was never
+seen; within a text, a surname that a full or
 titled name has introduced is found again where it stands alone.
 
 The scores come from the counts of all texts; every text is then searched whole.
@@ -375,6 +376,9 @@ class Extractor:
         self.never = frozenset(k for k, v in self.known.instance["street_address"].items() if v <= -2)
         self.lookup: dict[str, bool] = {}
         self.given = {fold(i) for i, s in knowledge.instance["person_name"].items() if s >= ACCEPT and not is_title(i) and not _IS_PARTICLE.fullmatch(i.lower()) and len(i) > 2}
+        self.first: dict[str, float] = {}
+        for i, x in self.known.instance["person_name"].items():
+            self.first[fold(i)] = max(x, self.first.get(fold(i), x))
 
     def odds(self, question: str, instance: str, before: str, after: str) -> float:
         """Log-odds that a mention is of the type."""
@@ -452,13 +456,37 @@ class Extractor:
             role = self.lookup[word] = 2 if is_title(bare) else 3 if word[-1:] == "." else 1 if given else 0
         return role
 
+    def _name_odds(self, text: str, word: str, start: int, end: int) -> float:
+        """Log-odds of a full name, its first word in any spelling that scanners confuse."""
+        before, after = context(text, start, end)
+        return self.odds("person_name", "", before, after) + self.first.get(fold(_given(word)), 0.0)
+
+    def _untitled(self, text: str, word: str, start: int, after: int) -> tuple[re.Match, bool] | None:
+        """The rest of a pair whose first word is no known given name, and whether its parts and context make it a name."""
+        if len(word) < 3 or word.isupper() or (name := _AFTER_GIVEN.match(text, after)) is None:
+            return None
+        if SEEDS["street_address"].get(word.lower()) == 0:
+            return name, False  # a month or a part of a paper
+        longer = _AFTER_GIVEN.match(text, name.end())
+        role = self._role(name["word"])
+        if role == 2 or role == 1 and longer:
+            return None  # a full name begins behind this word
+        if (best := self._name_odds(text, word, start, name.end())) >= 0 and longer and len(longer["word"]) > 2 and not self._role(longer["word"]) and not _BREAK.search(longer.group()):
+            more = self._name_odds(text, word, start, longer.end())
+            if more > best:
+                best, name = more, longer
+        if best >= 0 and _BREAK.search(name.group()):  # across a line's end both sides must speak for a name
+            before, after = context(text, start, name.end())
+            best = min(self.known.before["person_name"].get(before, 0.0), self.known.after["person_name"].get(after, 0.0)) or -1.0
+        return name, best >= 0 and len(name["word"]) > 2
+
     def _names(self, text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
         blocked = _marked(text, organisations(text) + taken)
         found: list[tuple[int, int]] = []
         surnames: set[str] = set()
         loose: list[tuple[str, int, int]] = []
         french = "M." in text and _FRENCH.search(text) is not None
-        past = 0
+        past, tried, titled = 0, 0, -1
 
         def add(start: int, end: int, *parts: str) -> None:
             if blocked.find(1, start, end) < 0 and not _MASK.search(text, max(0, start - 1), end + 1):
@@ -474,6 +502,12 @@ class Extractor:
             start, after = m.span()
             if not role and text[after : after + 1] != ",":
                 loose.append((word, start, after))
+                # the same pairs as are counted: one that is no name takes its words, too
+                if start >= max(past, tried) and not (start and (text[start - 1].isalnum() or text[start - 1] in "-‐")) and (pair := self._untitled(text, word, start, after)):
+                    name, tried = pair[0], pair[0].end()
+                    if pair[1]:
+                        add(start, tried, text[name.start("last") : tried], name["word"])
+                        past = tried
                 continue
             if start < past or start and (text[start - 1].isalnum() or text[start - 1] in "-‐"):
                 continue
@@ -483,6 +517,7 @@ class Extractor:
             if role == 2:
                 name = _AFTER_TITLE.match(text, after)
                 if name and self._role(name["word"]) or name and text[name.end() : name.end() + 1] == "," and self._reversed(text, name["word"], name.end()):
+                    titled = name.start("name")
                     continue  # the next words are a full name
             elif role == 3 and word.count(".") > 1 and "-" not in word:
                 continue  # bare initials stand for a withheld name
@@ -490,6 +525,8 @@ class Extractor:
                 name = _AFTER_GIVEN.match(text, after)
                 if name and role == 1 and self._role(name["word"]) == 1 and (longer := _AFTER_GIVEN.match(text, name.end())) and not _BREAK.search(longer.group()):
                     name = longer
+                if name and role == 1 and start != titled and self._name_odds(text, word, start, name.end()) < 0:
+                    continue
             elif end := self._reversed(text, word, after):
                 lead = _LEADING_CAPS.search(text[max(0, start - 12) : start]) if word.isupper() else None
                 first = start - len(lead.group()) if lead else start

@@ -106,3 +106,10 @@ def test_fit_counts_every_text(spark, corpus):
     for mine, all_texts in ((got.instance, known.instance), (got.before, known.before), (got.after, known.after)):
         for q, scores in all_texts.items():
             assert mine[q] == pytest.approx(scores)
+
+
+def test_context_decides_rare_given_names(corpus):
+    e = op.Extractor(corpus[2])
+    text = "The witness Xanthippe Zabriskovic (born 3 March 1970, National Insurance no. QQ 12 34 56 C) produced the lease. In the end Zabriskovic agreed. The Xanthippe Settlement stands."
+    assert [text[a:b] for k, a, b in e.find(text) if k == "person_name"] == ["Xanthippe Zabriskovic", "Zabriskovic"]
+    assert e.find("Nothing of Xanthippe Zabriskovic here.") == []
