@@ -15,7 +15,8 @@
 3. Application.  Every word of every record is taken back through the learned
    transformations.  Text meant as UTF-8 proves itself: the bytes must form
    valid sequences and give letters.  Single-byte text does not, so there the
-   result must be a word of the corpus, and more frequent than what stands there.
+   result must be a word of the corpus, and more frequent than what stands there,
+   by occurrences or by the number of different field values.
    Words with at least ``WORD_SHARE`` of all words serve for that, at most
    ``1 / WORD_SHARE`` of them.
 
@@ -121,10 +122,12 @@ def _unescaped(column: str):
 
 
 def _words(df: DataFrame, fields: Sequence[str], urls: Sequence[str]) -> DataFrame:
-    """Counts of words with non-ASCII characters."""
+    """Words with non-ASCII characters: ``n`` occurrences, and ``v`` different field values that hold them."""
     texts = F.array(*[_unescaped(f) if f in urls else F.col(f) for f in fields])
-    word = df.select(F.explode(texts).alias("t")).filter(F.col("t").rlike(r"[^\x00-\x7f]")).select(F.explode(F.split("t", _SPLIT)).alias("w"))
-    return word.filter(F.col("w").rlike(r"[^\x00-\x7f]")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    values = df.select(F.explode(texts).alias("t")).filter(F.col("t").rlike(r"[^\x00-\x7f]")).groupBy("t").agg(F.count(F.lit(1)).alias("c"))
+    word = values.select("c", F.split("t", _SPLIT).alias("p")).select("c", "p", F.posexplode("p").alias("i", "w")).filter(F.col("w").rlike(r"[^\x00-\x7f]"))
+    once = (F.array_position("p", F.col("w")) == F.col("i") + 1).cast("bigint")
+    return word.groupBy("w").agg(F.sum("c").alias("n"), F.sum(once).alias("v"))
 
 
 def twins(counted: DataFrame, clean_share: float = CLEAN_SHARE) -> DataFrame:
@@ -156,7 +159,7 @@ def learn_transformations(words: DataFrame, support: int = SUPPORT) -> list[tupl
 class Repairer:
     """Verdicts on words, with a bounded memory of them."""
 
-    def __init__(self, learned: Sequence[tuple[str, str]], known: dict[str, int], remembered: int = 300_000) -> None:
+    def __init__(self, learned: Sequence[tuple[str, str]], known: dict[str, tuple[int, int]], remembered: int = 300_000) -> None:
         self.multi = [read for meant, read in learned if meant == "utf_8"]
         self.single = [(meant, read) for meant, read in learned if meant != "utf_8"]
         self.known = known
@@ -196,12 +199,15 @@ class Repairer:
         partly = _RUN.sub(lambda m: self._partly(m[0]) or m[0], word)
         if partly != word:
             return partly
-        here = self.known.get(word.lower(), 0)
-        best, result = 3 * max(here, 1), None
+        # by occurrences or by different values: rows of one hot value say nothing about a word
+        here = [3 * max(x, 1) for x in self.known.get(word.lower(), (0, 0))]
+        best, result = (0, 0), None
         for meant, read in self.single:
             out = restore(word, meant, read)
-            if out and out != word and not out.isascii() and (n := self.known.get(out.lower(), 0)) >= best:
-                best, result = n, out
+            if out and out != word and not out.isascii():
+                n, v = self.known.get(out.lower(), (0, 0))
+                if (n >= here[0] or v >= here[1]) and (n, v) >= best:
+                    best, result = (n, v), out
         return result
 
     def word(self, word: str) -> str | None:
@@ -279,8 +285,8 @@ def garbled_fields(df: DataFrame, key: str, fields: Sequence[str], urls: Sequenc
     words = _words(df, fields, urls).persist()
     learned = learn_transformations(words)
     total = words.agg(F.sum("n")).collect()[0][0] or 0
-    common = words.groupBy(F.lower("w").alias("w")).agg(F.sum("n").alias("n")).filter(F.col("n") >= max(2, total * WORD_SHARE))
-    known = {r["w"]: r["n"] for r in common.toLocalIterator()}  # at most 1 / WORD_SHARE words
+    common = words.groupBy(F.lower("w").alias("w")).agg(F.sum("n").alias("n"), F.sum("v").alias("v")).filter(F.col("n") >= max(2, total * WORD_SHARE))
+    known = {r["w"]: (r["n"], r["v"]) for r in common.toLocalIterator()}  # at most 1 / WORD_SHARE words
     words.unpersist()
     sent = spark.sparkContext.broadcast((learned, known))
     arrow = pa.schema([("field", pa.string()), ("stored", pa.string()), ("repaired", pa.string())])

@@ -64,3 +64,14 @@ def test_found_and_repaired(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "WatchID bigint, Title string, URL string")
     assert op.garbled_fields(df, "WatchID", ["Title", "URL"], ["URL"]).count() == 0
+
+
+def test_hot_garbled_value(spark):
+    base = rows()
+    n = base[-1][0] + 1
+    base += [(n + i, f"{CYRILLIC[0]} {i}", None, "x") for i in range(5)]
+    hot = op.garble(CYRILLIC[0], "cp1251", "koi8_r") + " shop"
+    base += [(n + 10 + i, hot, None, "x") for i in range(500)]
+    df = spark.createDataFrame(base, "WatchID bigint, Title string, URL string, field string")
+    got = [r for r in op.garbled_fields(df, "WatchID", ["Title", "URL"], ["URL"]).collect() if r.stored == hot]
+    assert len(got) == 500 and {r.repaired for r in got} == {CYRILLIC[0] + " shop"}
