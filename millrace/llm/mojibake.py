@@ -3,10 +3,10 @@
 1. Twins.  All words of the fields (URLs below their percent-escapes) are
    counted; words with non-ASCII characters are joined by the text without
    those characters, each with the words of its group that have at least
-   ``CLEAN_SHARE`` of all words (at most ``1 / CLEAN_SHARE`` of them) and with the
-   most frequent word of the group, if their lengths allow a transformation.
-   So the pairs grow with the words, not with their square.  Words of scripts
-   without ASCII letters are one group, whose frequent words serve as twins.
+   ``CLEAN_SHARE`` of the group's words of their script, counted over different
+   field values, if their lengths allow a transformation.  So the pairs grow with
+   the words, not with their square, and a hot value or a frequent script takes no
+   twin from another.  Words without ASCII letters are one group.
 2. Alignment.  The ASCII parts of twins are equal, so their non-ASCII runs align
    one to one.  A run pair supports the transformations (meant encoding, read
    encoding, rounds) that turn every clean run into the garbled one, character
@@ -132,15 +132,19 @@ def _words(df: DataFrame, fields: Sequence[str], urls: Sequence[str]) -> DataFra
 
 def twins(counted: DataFrame, clean_share: float = CLEAN_SHARE) -> DataFrame:
     """``clean`` and ``seen`` of every word and its possible twins."""
-    keyed = counted.select(F.regexp_replace("w", r"[^\x00-\x7f]+", "\x01").alias("k"), "w", "n")
-    total = counted.agg(F.sum("n")).scalar()
-    frequent = keyed.filter(F.col("n") >= total * clean_share).select("k", F.col("w").alias("clean"), F.col("n").alias("m"))
-    top = keyed.groupBy("k").agg(F.max(F.struct("n", "w")).alias("best")).select("k", F.col("best.w").alias("clean"), F.col("best.n").alias("m"))
+    code = F.ascii(F.regexp_extract("w", r"[^\x00-\x7f]", 0))
+    script = F.when(code < 0x370, 0).when(code < 0x400, 1).when(code < 0x530, 2).otherwise(F.shiftright(code, 12) + 3)
+    keyed = counted.select(F.regexp_replace("w", r"[^\x00-\x7f]+", "\x01").alias("k"), script.alias("s"), "w", "n", "v")
+    # what is frequent in one script, or a hot value, leaves the other scripts' words twins
+    totals = keyed.groupBy("k", "s").agg((F.sum("v") * clean_share).alias("least"))
+    frequent = keyed.join(totals, ["k", "s"]).filter(F.col("v") >= F.col("least")).select("k", F.col("w").alias("clean"), F.col("n").alias("m"), F.col("v").alias("u"))
     seen, clean, octets = F.length("w"), F.length("clean"), F.octet_length("clean")
-    fits = (F.col("w") != F.col("clean")) & (F.col("n") < F.col("m")) & ((seen == clean) | (seen == octets) | (seen * 2 >= octets * 3))
-    one = keyed.join(F.broadcast(frequent), "k").filter(fits).select("clean", F.col("w").alias("seen"))
-    two = keyed.join(top.filter(F.col("m") < total * clean_share), "k").filter(fits).select("clean", F.col("w").alias("seen"))
-    return one.unionByName(two)
+    fewer = (F.col("v") < F.col("u")) | ((F.col("v") == F.col("u")) & (F.col("n") < F.col("m")))
+    fits = (F.col("w") != F.col("clean")) & fewer & ((seen == clean) | (seen == octets) | (seen * 2 >= octets * 3))
+    bare = F.col("k") == "\x01"  # one group of at most 1 / clean_share twins a script; all others are small
+    one = keyed.filter(bare).join(F.broadcast(frequent.filter(bare)), "k").filter(fits)
+    two = keyed.filter(~bare).join(frequent.filter(~bare), "k").filter(fits)
+    return one.unionByName(two).select("clean", F.col("w").alias("seen"))
 
 
 def learn_transformations(words: DataFrame, support: int = SUPPORT) -> list[tuple[str, str]]:

@@ -75,3 +75,10 @@ def test_hot_garbled_value(spark):
     df = spark.createDataFrame(base, "WatchID bigint, Title string, URL string, field string")
     got = [r for r in op.garbled_fields(df, "WatchID", ["Title", "URL"], ["URL"]).collect() if r.stored == hot]
     assert len(got) == 500 and {r.repaired for r in got} == {CYRILLIC[0] + " shop"}
+
+
+def test_twins_beside_a_hot_title(spark):
+    greek = ["καιρός", "σήμερα", "αγορά", "συνταγές"]
+    counted = [(w, 40, 5) for w in greek] + [(op.garble(w, "iso8859_7", "cp1252"), 1, 1) for w in greek] + [(w, 1_000_000, 1) for w in CYRILLIC]
+    words = spark.createDataFrame(counted, "w string, n bigint, v bigint")
+    assert ("iso8859_7", "cp1252") in op.learn_transformations(words)
