@@ -157,6 +157,14 @@ def _fixed(words: pa.Array, width: int) -> np.ndarray:
     return np.array(words.cast(pa.binary()).to_pylist(), dtype=f"S{width}").view(np.uint8).reshape(-1, width)
 
 
+def _integer(word: str, digits: int) -> int | None:
+    """The value, None if it has more digits; int() refuses texts of thousands of digits."""
+    bare = word.lstrip("-").lstrip("0") or "0"
+    if len(bare) > digits:
+        return None
+    return -int(bare) if word[0] == "-" else int(bare)
+
+
 def _parse(kind: str, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Typed values (null where invalid) and validity."""
     n = len(words)
@@ -188,8 +196,8 @@ def _parse(kind: str, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
         base = pa.array(full.astype(np.int32) if kind == "date" else full, mask=~ok)
         return base.cast(_ARROW_TYPE[kind]), ok
     if kind == "int128":
-        values = [int(w) for w in good.to_pylist()]
-        ok[at] = [abs(v) < 10**38 for v in values]
+        values = [_integer(w, 38) for w in good.to_pylist()]
+        ok[at] = [v is not None for v in values]
         full = [None] * n
         for i, v in zip(at.tolist(), values):
             full[i] = v if ok[i] else None
@@ -204,8 +212,8 @@ def _parse(kind: str, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     inside = np.ones(len(at), dtype=bool)
     value[short] = np.asarray(good.filter(pa.array(short)).cast(pa.int64()))
     for i in np.flatnonzero(~short).tolist():
-        v = int(good[i].as_py())
-        inside[i] = low <= v <= high
+        v = _integer(good[i].as_py(), 19)
+        inside[i] = v is not None and low <= v <= high
         value[i] = v if inside[i] else 0
     inside &= (value >= low) & (value <= high)
     full = np.zeros(n, dtype=np.int64)

@@ -101,3 +101,10 @@ def test_other_types_and_limits(spark):
     for bad in ([], [("x", "float")]):
         with pytest.raises(InvalidArgument):
             op.load_records(df, "id", "l", bad)
+
+
+@pytest.mark.parametrize("kind", ["int16", "int64", "int128"])
+def test_integers_of_thousands_of_digits(kind):
+    words = pa.array(["9" * 5000, "-" + "9" * 5000, "0" * 5000 + "7", "-" + "0" * 5000 + "7", "-0", "12"])
+    values, ok = op._parse(kind, words)
+    assert ok.tolist() == [False, False, True, True, True, True] and values.to_pylist() == [None, None, 7, -7, 0, 12]
