@@ -1,6 +1,6 @@
 """Personal information in free text: bootstrapped contextual extraction.
 
-Candidates are found by shape alone: groups of digits, numbers beside street
+Candidates are found by shape alone: words around an at sign, groups of digits, numbers beside street
 words, sequences of capitalised words.  A candidate has an *instance* (the
 shape of a number, the kind of street, the first word of a name) and *patterns*
 (the words before it and after it).  A few seed instances of each type are
@@ -37,7 +37,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -55,10 +55,11 @@ PRIOR = 0.15
 #: A first word is seeded as a given name, or as none, by the share of its mentions whose last word is introduced.
 GIVEN_YES, GIVEN_NO = 0.3, 0.05
 #: Columns of the candidates' class and of the question asked of it.
-QUESTIONS = {"number": ("phone", "id_number"), "street": ("street_address",), "name": ("person_name",)}
+QUESTIONS = {"email": ("email",), "number": ("phone", "id_number"), "street": ("street_address",), "name": ("person_name",)}
 
 #: Seed instances (1: of the type, 0: of none).  Numbers by shape, # a digit and A a letter.
 SEEDS: dict[str, dict[str, float]] = {
+    "email": {"a@a": 1},
     "phone": {
         "+## #### ######": 1, "+## ## ##### ###": 1, "+# ###-###-####": 1, "+## # ## ## ## ##": 1, "(###) ###-####": 1,
         "AA ## ## ## A": 0, "AA######A": 0, "# ## ## ## ### ### ##": 0, "## ### ### ###": 0,
@@ -81,6 +82,21 @@ SEEDS: dict[str, dict[str, float]] = {
 TITLES = frozenset("Mr Mrs Ms Miss Dr Sir Lord Lady Justice Judge Master Prof Professor Herr Frau Herrn Mme Mlle Me Maître Monsieur Madame Richter Richterin Vorsitzende Vorsitzender Zeuge Zeugin Président Greffier Rapporteur".split())
 COMPANY = r"(?:Ltd|Limited|plc|PLC|LLP|Inc|Corp|GmbH|AG|KG|SARL|SAS|SA|SE|OHG|mbH|Ltd\.)"
 
+
+class Memo(dict):
+    """Values of a pure function of short strings, a bounded number of them."""
+
+    def __init__(self, f: Callable[[str], object], most: int = 1 << 17) -> None:
+        super().__init__()
+        self.f, self.most = f, most
+
+    def __missing__(self, key: str):
+        if len(self) >= self.most:
+            self.clear()
+        out = self[key] = self.f(key)
+        return out
+
+
 @lru_cache(maxsize=1 << 16)
 def fold(word: str) -> str:
     """One spelling for letters that scanners confuse."""
@@ -91,9 +107,8 @@ def fold(word: str) -> str:
 _TITLES = frozenset(map(fold, TITLES))
 
 
-@lru_cache(maxsize=1 << 16)
-def is_title(token: str) -> bool:
-    return fold(token.rstrip(".")) in _TITLES
+#: Whether a word is a title.
+_TITLE = Memo(lambda token: fold(token.rstrip(".")) in _TITLES)
 
 
 _UP = "A-ZÀ-ÖØ-ÞŁŚŻŽŠİ"
@@ -105,8 +120,8 @@ _WORD = rf"[{_UP}]{_WS}(?:['’](?!s\b){_WP})?(?:[-‐](?:(?:\r\n|\r|\n)[ \t]*)?
 _INITIAL = rf"[{_UP}]\.(?:-?[{_UP}]\.)*"
 _PARTICLE = r"(?:(?:von|Von|VON)(?:[ ](?:der|dem|den|DER|DEM|DEN))?|zu|Zu|ZU|van(?:[ ](?:der|den))?|(?:de|De|DE)(?:[ ](?:la|La|LA))?|du|Du|DU|le|Le|LE|la|La|LA|der|ten|Mac|O['’])"
 _SURNAME = rf"(?:{_PARTICLE}{_GAP})?(?:[dDlL]['’])?{_WORD}"
-_COMPANY_END = re.compile(rf"{COMPANY}(?!\w)")
-_COMPANY_WORDS = re.compile(rf"(?:[{_UP}](?:{_W}|['’&-])*{_GAP}){{1,3}}$")
+_COMPANY_END = re.compile(rf"\s{COMPANY}(?!\w)")
+_TO_COMPANY = re.compile(rf"(?:{_GAP}[{_UP}](?:{_W}|['’&-])*){{0,2}}?{_GAP}{COMPANY}(?!\w)")
 _IS_PARTICLE = re.compile(r"von|Von|VON|zu|Zu|ZU|van|de|De|DE|du|Du|DU|le|Le|LE|la|La|LA|der|dem|den|DER|DEM|DEN|ten|Mac|[dDlLO]['’]")
 _IS_INITIAL = re.compile(_INITIAL)
 _COMMA_GIVEN = re.compile(rf",{_GAP}({_WORD})")
@@ -116,20 +131,19 @@ _LEADING_CAPS = re.compile(rf"\b(?:VON|VON[ ]DE[RMN]|ZU|DE|DE[ ]LA|DU|LE|LA){_GA
 _CAPITAL_WORD = re.compile(rf"[{_UP}](?:\.(?:-?[{_UP}]\.)*(?!\w)|(?:['’](?=[{_UP}]))?{_WS}(?:['’](?!s\b){_WP})?(?:[-‐](?:(?:\r\n|\r|\n)[ \t]*)?{_WP})*)")
 _LAST = rf"(?P<last>(?:{_PARTICLE}{_GAP})?(?:[dDlLO]['’])?(?P<word>{_WORD})(?!\.?\w))"
 _AFTER_GIVEN = re.compile(rf"(?:{_GAP}{_INITIAL})*{_GAP}{_LAST}")
+#: A capitalised word that a name, or more of one, may follow.
+_NAME_START = re.compile(rf"{_CAPITAL_WORD.pattern}(?=\.?\s[\s{_UP}vzdlt])")
+_NAME_PART = re.compile(rf"{_CAPITAL_WORD.pattern}(?=\.?\s[\s{_UP}vzdlt]|,)")
 _AFTER_TITLE = re.compile(rf"\.?{_GAP}(?P<name>{_LAST})")
+#: Whether a name can go on with these two characters: white space, then more of it, a capital or a particle.
+_GOES_ON = Memo(re.compile(rf"\s[\s{_UP}vzdlt]").match)
 
 
-def organisations(text: str) -> list[tuple[int, int]]:
-    """Up to three capitalised words and the ending of a company's name."""
-    out = []
-    for m in _COMPANY_END.finditer(text):
-        if not text[m.start() - 1 : m.start()].isspace():
-            continue
-        low = max(0, m.start() - 60)
-        words = _COMPANY_WORDS.search(text[low : m.start()])
-        if words:
-            out.append((low + words.start(), m.end()))
-    return out
+def in_company(text: str, start: int, end: int) -> bool:
+    """Whether the span is among the last three capitalised words of a company's name."""
+    if _COMPANY_END.search(text, max(0, start - 1), end):
+        return True
+    return _GOES_ON[text[end : end + 2]] is not None and _TO_COMPANY.match(text, end) is not None
 
 
 _SEP = r"(?:[ \xa0\u2009\u202f]|\r?\n|[-./‐‑–]|\)(?:[ \xa0]|\r?\n)?|(?:[ \xa0]|\r?\n)?\((?=\d))"
@@ -138,7 +152,8 @@ _LABEL = "(?!(?:NIR|SSN|ID|NINO|CNI|EUR|USD|GBP|RG|NHC|NHCA|NHGZ|OLG|BGH|ZR)\\b)
 #: The start of a number, if five digits follow with no more than three other characters between two.
 _START = re.compile(r"[+(\dA-Z][\dA-Z(]*+(?:(?<=\d)|(?<=\d[A-Z])|(?=\D{0,7}\d))")
 NUMBER = re.compile(rf"[+(]{{0,2}}{_LABEL}(?:[A-Z]{{1,5}}(?:[ \xa0-]|\r?\n)?(?=[\dA-Z]*\d))?\d[\dA-Z]*(?:{_SEP}(?:[\dA-Z]*\d[\dA-Z]*|[A-Z](?![\w]))\b){{0,10}}")
-_FIVE = re.compile(r"\D{0,8}(?:\d\D{0,3}){4}\d")
+#: Five digits or more, no more than three other characters between two.
+_CLUSTER = re.compile(r"\d(?:\D{0,3}\d){4,}")
 _GROUPS = re.compile(r"[+(]*[\dA-Z]+\)?")
 EXTENSION = re.compile(r"(?:[ \xa0,]|\r?\n)*(?:x|ext\.?|extension|Durchwahl|DW|poste|App\.)[ \xa0]?\d{1,6}\b")
 _AT = re.compile(r"@|[\[({<]\s*at\s*[\])}>]", re.I)
@@ -156,60 +171,87 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
             yield low + local.start(), domain.end()
 
 
+_MAILBOX_WORD = re.compile(r"(?<![\[({<\w])(?:[\w+-]|\.(?=\w))+(?![\])}>])")
+
+
+def mailbox_form(value: str) -> str:
+    """How a mailbox is spelt: words as a, signs, brackets and what they hold as they are."""
+    return _MAILBOX_WORD.sub("a", _SPACE.sub(" ", value.lower()))
+
+
 _STREET_FROM = re.compile(
-    rf"\d{{1,4}}[a-zA-Z]?(?:{_GAP}(?:bis|ter|quater))?,?{_GAP}"
+    rf"\d(?<!\d\d)\d{{0,3}}+(?=[a-zA-Z,\s])[a-zA-Z]?(?:{_GAP}(?:bis|ter|quater))?,?{_GAP}(?![a-z]{{1,10}}[ ](?!d))"
     rf"(?:(?P<en>(?:[{_UP}][\w'’]*{_GAP}){{1,3}}?(?P<kind>[{_UP}][a-z]+)\b(?P<dot>\.(?=[\s,;]))?(?!{_GAP}(?:Hill|Mill|Lane|Road|Rd|Street|St|Close|Court|Terrace|Way|Ave)\b)(?:,{_GAP}(?:Flat|Unit|Apt\.?|Apartment|Suite){_GAP}\w{{1,4}}\b)?)"
     rf"|(?P<fr>[a-zéè]{{2,10}}\.?){_GAP}(?:de{_GAP}la{_GAP}|de{_GAP}l['’]|des{_GAP}|du{_GAP}|de{_GAP}|d['’])[{_UP}](?:{_W}|['’-])*(?:{_GAP}[{_UP}](?:{_W}|['’-])*)?)"
 )
 _FLAT = re.compile(rf"(?:Flat|Unit|Apt\.?|Apartment|Suite|Appt\.?|Bât\.?){_GAP}\w{{1,4}},?{_GAP}$")
-_DIGIT_RUN = re.compile(r"\d+")
+#: A number of up to four digits behind a word that ends in a small letter or a point.
+_BEHIND_WORD = re.compile(r"[ \n\xa0](?=\d)(?<=[a-zß.\r][ \n\xa0])\d{1,4}+(?!\d)")
 _HOUSE = re.compile(r"\d{1,4}(?:[ ]?[a-z](?!\w))?(?:/\d{1,4})?(?![\w./-]*\d)")
 _STREET_TO = re.compile(rf"(?:(?:Alte[rns]?|Neue[rns]?|Am|An|Große[rs]?|Kleine[rs]?|Obere[rs]?|Untere[rs]?){_GAP}(?:der{_GAP}|den{_GAP})?)?[{_UP}][a-zäöüß\u0300-\u036f-]*(?P<de>str\.|[a-zß]{{4}}){_GAP}$")
 _PARAGRAPH = re.compile(rf"[.)]?[ \t]+[{_UP}]")
 
 
+#: Whether the piece of text before a house number can be a street of the kind that ends in its last four letters.
+_STREETY = Memo(re.compile(rf"[{_UP}][a-zäöüß\u0300-\u036f-]*(?:str\.|[a-zß]{{4}})$").search)
+
+
 def streets(text: str, never: frozenset[str] = frozenset()) -> Iterator[tuple[str, int, int]]:
     """Kind and offsets of numbers beside street-like words, but for kinds that are ``never`` one."""
-    for run in _DIGIT_RUN.finditer(text):
-        at, stop = run.span()
-        if stop - at > 4 or not at:
-            continue
-        before, after = text[at - 1], text[stop : stop + 1]
-        if after and after not in "./-:" and before not in "/.,-" and not before.isalnum() and (m := _STREET_FROM.match(text, at)):
+    for m in _STREET_FROM.finditer(text):
+        at = m.start()
+        if at and not (text[at - 1] in "/.,-" or text[at - 1].isalnum()):
             flat = _FLAT.search(text[max(0, at - 20) : at])
             kind = m["kind"] + (m["dot"] or "") if m["en"] else m["fr"]
             yield kind.lower(), at - (len(flat.group()) if flat else 0), m.end()
-        if before in " \n\xa0" and at > 5 and text[at - 5 : at - 1] not in never and (m := _HOUSE.match(text, at)):
-            last = text[at - 3] if text[at - 2] == "\r" else text[at - 2]
-            if last != "." and not "a" <= last <= "ß":
-                continue
-            low = max(0, at - 48)
-            street = _STREET_TO.search(text[low:at])
-            if street and not (_BREAK.search(text, at - 2, at) and _PARAGRAPH.match(text, m.end())):
-                yield street["de"], low + street.start(), m.end()
+    for m in _BEHIND_WORD.finditer(text):
+        at = m.start() + 1
+        low = max(0, at - 48)
+        piece = text[low:at].rsplit(None, 1)[-1]
+        if piece[-4:] in never or not _STREETY[piece] or (m := _HOUSE.match(text, at)) is None:
+            continue
+        street = _STREET_TO.search(text[low:at])
+        if street and not (_BREAK.search(text, at - 2, at) and _PARAGRAPH.match(text, m.end())):
+            yield street["de"], low + street.start(), m.end()
 
 
 _MASK = re.compile(r"[•*█▇■]|X{3}")
 _CONTEXT = re.compile(r"\w+|[^\w\s]")
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
-_DIGIT, _CAPITAL, _DASH = re.compile(r"\d"), re.compile(r"[A-Z]"), re.compile(r"[‐‑–]")
+_DIGIT = re.compile(r"\d")
 _ELISION = re.compile(r"^[dDlL]['’]")
 _BREAK = re.compile(r"[\r\n]")
 _FRENCH = re.compile(r"\b(?:le|la|les|du|est)\b")
 
 
+_FORM = {ord(c): o for o, cs in (("#", "0123456789"), ("A", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("-", "‐‑–"), (" ", "\t\n\r\f\v\xa0\u2009\u202f")) for c in cs}
+
+
 def shape(value: str) -> str:
     """Digits as #, capitals as A, white space as one space, all dashes alike."""
-    return _DASH.sub("-", _CAPITAL.sub("A", _DIGIT.sub("#", _SPACE.sub(" ", value))))
+    form = value.translate(_FORM)
+    return _SPACE.sub(" ", form) if "  " in form else form
 
 
-_THIN = frozenset(("number", "nummer", "numéro", "number"))
+_THIN = frozenset(("number", "nummer", "numéro"))
 
 
-def context(text: str, start: int, end: int) -> tuple[str, str]:
-    """The last word before with its punctuation (two words if it is short), and two tokens after; digits as #, lower case."""
-    tokens = _CONTEXT.findall(text[max(0, start - 36) : start].lower())
+def _pattern(tokens: list[str]) -> str:
+    return _DIGITS.sub("#", " ".join(tokens))
+
+
+def _enough(piece: str) -> str | None:
+    """The last word with its punctuation, None if it takes the word before to say anything."""
+    tokens = _CONTEXT.findall(piece.lower())
+    for at in range(len(tokens) - 1, -1, -1):
+        if tokens[at][0].isalnum():
+            return _pattern(tokens[at:]) if len(tokens[at]) > 2 and tokens[at] not in _THIN else None
+    return None
+
+
+def _two_words(pieces: str) -> str:
+    tokens = _CONTEXT.findall(pieces.lower())
     at = len(tokens)
     for _ in range(2):
         at -= 1
@@ -217,24 +259,61 @@ def context(text: str, start: int, end: int) -> tuple[str, str]:
             at -= 1
         if at <= 0 or len(tokens[at]) > 2 and tokens[at] not in _THIN:
             break
-    before = tokens[max(0, at) :]
-    after = _CONTEXT.findall(text[end : end + 32].lower())[:2]
-    return tuple(_DIGITS.sub("#", " ".join(x)) for x in (before, after))
+    return _pattern(tokens[max(0, at) :])
+
+
+def _two_tokens(piece: str) -> str | None:
+    tokens = _CONTEXT.findall(piece.lower())
+    return _pattern(tokens[:2]) if len(tokens) > 1 else None
+
+
+_BEFORE_ONE, _BEFORE_TWO = Memo(_enough), Memo(_two_words)
+_AFTER_ONE, _AFTER_TWO = Memo(_two_tokens), Memo(lambda pieces: _pattern(_CONTEXT.findall(pieces.lower())[:2]))
+
+
+def context(text: str, start: int, end: int) -> tuple[str, str]:
+    """The last word before with its punctuation (two words if it is short), and two tokens after; digits as #, lower case.
+
+    At most two pieces between white space count on either side, within 36 and 32 characters.
+    """
+    left = text[start - 36 if start > 36 else 0 : start].rsplit(None, 2)
+    right = text[end : end + 32].split(None, 2)
+    before = after = ""
+    if left:
+        before = _BEFORE_ONE[left[-1]]
+        if before is None:
+            # a piece of marks alone, as of a page number, is passed over
+            before = _BEFORE_TWO[" ".join(left[-2:] if len(left[-1]) > 1 or left[-1].isalnum() else text[max(0, start - 36) : start].split())]
+    if right:
+        after = _AFTER_ONE[right[0]]
+        if after is None:
+            after = _AFTER_TWO[" ".join(right[:2])]
+    return before, after
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
     """Numbers of five digits or more; an opening bracket belongs to one only if it closes inside."""
     past = 0
-    for first in _START.finditer(text):
-        start = first.start()
-        if start < past or start and (text[start - 1].isalnum() or text[start - 1] in "_@•*█."):
-            continue
-        if _FIVE.match(text, start) is None or (m := NUMBER.match(text, start)) is None:
+    for cluster in _CLUSTER.finditer(text):
+        low, high = cluster.span()
+        if high <= past:
             continue
-        past = end = m.end()
-        if end - start >= 5 and len(_DIGIT.findall(text, start, end)) >= 5:
-            value = m.group()
-            yield start + (value[:1] == "(" and value.count("(") > value.count(")")), end
+        # letters, signs and brackets may stand before the first digit
+        for first in _START.finditer(text, max(past, low - 10), high):
+            start = first.start()
+            if start < past or start and (text[start - 1].isalnum() or text[start - 1] in "_@•*█."):
+                continue
+            if (m := NUMBER.match(text, start)) is None:
+                continue
+            past = end = m.end()
+            if end - start >= 5 and len(_DIGIT.findall(text, start, end)) >= 5:
+                value = m.group()
+                yield start + (value[:1] == "(" and value.count("(") > value.count(")")), end
+
+
+def has_masks(text: str) -> bool:
+    """Whether any characters of the text are masked."""
+    return "•" in text or "*" in text or "XXX" in text or "█" in text or "▇" in text or "■" in text
 
 
 def _masked(text: str, start: int, end: int) -> bool:
@@ -255,14 +334,16 @@ def _marked(text: str, spans: list[tuple[int, int]]) -> bytearray:
 
 def observe(text: str) -> Iterator[tuple[str, str, str, str]]:
     """Class, instance and patterns of the candidates of a text."""
+    masks = has_masks(text)
+    for start, end in emails(text):
+        yield ("email", mailbox_form(text[start:end]), *context(text, start, end))
     for start, end in candidates(text):
-        if not _masked(text, start, end):
+        if not (masks and _masked(text, start, end)):
             yield ("number", shape(text[start:end]), *context(text, start, end))
     for kind, start, end in streets(text):
         yield ("street", kind, *context(text, start, end))
-    company = _marked(text, organisations(text))
     pairs, introduced, past = [], set(), 0
-    for m in _CAPITAL_WORD.finditer(text):
+    for m in _NAME_START.finditer(text):
         start, end = m.span()
         word = m.group()
         if start < past or start and text[start - 1].isalnum():
@@ -271,9 +352,9 @@ def observe(text: str) -> Iterator[tuple[str, str, str, str]]:
             if name := _AFTER_GIVEN.match(text, end):
                 introduced.add(name["word"].lower())
                 past = name.end()
-        elif is_title(word):
+        elif _TITLE[word]:
             name = _AFTER_TITLE.match(text, end)
-            if name is None or is_title(name["word"]):
+            if name is None or _TITLE[name["word"]]:
                 continue
             first, past = name["word"], name.end()
             if more := _AFTER_GIVEN.match(text, past):
@@ -282,7 +363,7 @@ def observe(text: str) -> Iterator[tuple[str, str, str, str]]:
             introduced.add(name["word"].lower())
         elif len(word) > 2 and not word.isupper() and (name := _AFTER_GIVEN.match(text, end)):
             past = name.end()
-            inside = company.find(1, start, past) >= 0
+            inside = in_company(text, start, past)
             pairs.append((_given(word), name["word"].lower(), inside, False, context(text, start, past)))
     for given, surname, inside, skip, (before, after) in pairs:
         # the pair's last word also stands behind a title or an initial: the first one is a given name
@@ -328,13 +409,17 @@ def learn(df: DataFrame, text: str, rounds: int = ROUNDS, share: float = SHARE)
     counted = spread(df.select(F.col(text).cast("string").alias("t")).filter(F.col("t") != "")).mapInArrow(count, "cls string, i string, l string, r string, n bigint")
     combos = counted.groupBy("cls", "i", "l", "r").agg(F.sum("n").alias("n")).checkpoint()
     totals = combos.groupBy("cls").agg(F.sum("n").alias("total"))
-    kept = {}
-    for part in "ilr":  # frequent parts only; the rest of the candidates keep a null there
-        sums = combos.filter(F.col(part) != "").groupBy("cls", part).agg(F.sum("n").alias("s"))
-        kept[part] = sums.join(F.broadcast(totals), "cls").filter((F.col("s") >= F.col("total") * share) & (F.col("s") >= 2)).select("cls", part, F.lit(True).alias(f"has_{part}"))
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(p).alias("v")) for p in "ilr"])).alias("x")
+
+    def part(scores: DataFrame, p: str, *names: str) -> DataFrame:
+        return F.broadcast(scores.filter(F.col("p") == p).drop("p").toDF(*names))
+
+    # frequent parts only; the rest of the candidates keep a null there
+    sums = combos.select("cls", "n", each).filter("x.v <> ''").groupBy("cls", "x.p", "x.v").agg(F.sum("n").alias("s"))
+    kept = sums.join(F.broadcast(totals), "cls").filter((F.col("s") >= F.col("total") * share) & (F.col("s") >= 2)).select("cls", "p", "v", F.lit(True).alias("has")).checkpoint()
     graph = combos
-    for part in "ilr":
-        graph = graph.join(F.broadcast(kept[part]), ["cls", part], "left").withColumn(part, F.when(F.col(f"has_{part}"), F.col(part))).drop(f"has_{part}")
+    for p in "ilr":
+        graph = graph.join(part(kept, p, "cls", p, "has"), ["cls", p], "left").withColumn(p, F.when(F.col("has"), F.col(p))).drop("has")
     question = F.explode(F.create_map(*[x for c, q in QUESTIONS.items() for x in (F.lit(c), F.array(*map(F.lit, q)))])[F.col("cls")])
     graph = graph.groupBy("cls", "i", "l", "r").agg(F.sum("n").alias("n")).select("*", question.alias("q")).drop("cls")
     seeds = spark.createDataFrame([(q, i, float(s)) for q, own in SEEDS.items() for i, s in own.items()], "q string, i string, seed double")
@@ -347,23 +432,21 @@ def learn(df: DataFrame, text: str, rounds: int = ROUNDS, share: float = SHARE)
     named = F.when(F.col("q") == "person_name", bare).otherwise(F.col("i"))
     graph = graph.withColumn("i", named).groupBy("q", "i", "l", "r").agg(F.sum("n").alias("n"))
     graph = graph.join(F.broadcast(seeds), ["q", "i"], "left").checkpoint()
-    scored = {p: None for p in "ilr"}
+    scored = None
     for _ in range(rounds):
         step = graph
-        for part, table in scored.items():
-            step = step.withColumn(f"s_{part}", F.lit(None).cast("double")) if table is None else step.join(F.broadcast(table), ["q", part], "left")
+        for p in "ilr":
+            step = step.withColumn(f"s_{p}", F.lit(None).cast("double")) if scored is None else step.join(part(scored, p, "q", p, f"s_{p}"), ["q", p], "left")
         known = F.array_compact(F.array(F.coalesce("seed", "s_i"), "s_l", "s_r"))
         base = _logit(PRIOR)
         odds = F.aggregate(known, F.lit(base), lambda a, x: a + F.log(F.greatest(x, F.lit(0.01)) / F.greatest(1 - x, F.lit(0.01))) - F.lit(base))
         mention = step.filter(F.size(known) > 0).withColumn("m", 1 / (1 + F.exp(-odds)))
-        scored = {
-            p: mention.filter(F.col(p).isNotNull()).groupBy("q", p).agg((F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias(f"s_{p}")).checkpoint() for p in "ilr"
-        }
+        scored = mention.select("q", "m", "n", each).filter("x.v IS NOT NULL").groupBy("q", "x.p", "x.v").agg((F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("s")).checkpoint()
     fixed = {(q, i): s for q, own in SEEDS.items() for i, s in own.items()}
     out = Knowledge(*[{q: {} for own in QUESTIONS.values() for q in own} for _ in range(3)])
-    for part, target in zip("ilr", (out.instance, out.before, out.after)):
-        for q, value, s in scored[part].collect():  # at most 1 / share rows a class and part
-            target[q][value] = fixed.get((q, value), s) if part == "i" else s
+    target = dict(zip("ilr", (out.instance, out.before, out.after)))
+    for q, p, value, s in scored.collect():  # at most 1 / share rows a class and part
+        target[p][q][value] = fixed.get((q, value), s) if p == "i" else s
     return out
 
 
@@ -373,9 +456,11 @@ class Extractor:
     def __init__(self, knowledge: Knowledge) -> None:
         self.known = knowledge.evidence()
         self.base = _logit(PRIOR)
+        own = [self.known.instance[q] for q in QUESTIONS["number"]]
+        self.alone = {form: max(x.get(form, -9.0) for x in own) for form in set().union(*own)}
         self.never = frozenset(k for k, v in self.known.instance["street_address"].items() if v <= -2)
         self.lookup: dict[str, bool] = {}
-        self.given = {fold(i) for i, s in knowledge.instance["person_name"].items() if s >= ACCEPT and not is_title(i) and not _IS_PARTICLE.fullmatch(i.lower()) and len(i) > 2}
+        self.given = {fold(i) for i, s in knowledge.instance["person_name"].items() if s >= ACCEPT and not _TITLE[i] and not _IS_PARTICLE.fullmatch(i.lower()) and len(i) > 2}
         self.first: dict[str, float] = {}
         for i, x in self.known.instance["person_name"].items():
             self.first[fold(i)] = max(x, self.first.get(fold(i), x))
@@ -389,7 +474,7 @@ class Extractor:
         """``(type, start, end)``, in order, without overlaps."""
         if not text or text.isspace():
             return []
-        spans = [("email", a, b) for a, b in emails(text)]
+        spans = [("email", a, b) for a, b in emails(text) if self.odds("email", mailbox_form(text[a:b]), *context(text, a, b)) >= 0]
         spans += self._numbers(text)
         spans += self._streets(text)
         spans += self._names(text, [(a, b) for _, a, b in spans])
@@ -402,7 +487,10 @@ class Extractor:
 
     def _numbers(self, text: str) -> Iterator[tuple[str, int, int]]:
         known = self.known
+        masks = has_masks(text)
         for low, high in candidates(text):
+            if self.alone.get(shape(text[low:high]), 0.0) <= -2.5:
+                continue  # a shape that is certainly neither needs no context and has no parts
             groups = [(low + g.start(), low + g.end()) for g in _GROUPS.finditer(text[low:high])]
             n, done = len(groups), False
             for size in range(n, 0, -1):
@@ -418,12 +506,9 @@ class Extractor:
                         if digits < 5:
                             continue
                     form = shape(value)
-                    alone = max(known.instance[q].get(form, 0.0 if size == n else -9.0) for q in QUESTIONS["number"])
-                    # a shape that is certainly neither needs no context and has no parts; a part must be known by its shape
-                    if size == n and alone <= -2.5:
-                        done = True
-                        break
-                    if size < n and alone + self.base < 0 or _masked(text, start, end):
+                    alone = self.alone.get(form, 0.0 if size == n else -9.0)
+                    # a part must be known by its shape
+                    if size < n and alone + self.base < 0 or masks and _masked(text, start, end):
                         continue
                     before, after = context(text, start, end)
                     best, question = max((self.odds(q, form, before, after), q) for q in QUESTIONS["number"])
@@ -439,8 +524,9 @@ class Extractor:
                     break
 
     def _streets(self, text: str) -> Iterator[tuple[str, int, int]]:
+        masks = has_masks(text)
         for kind, start, end in streets(text, self.never):
-            if self.known.instance["street_address"].get(kind, 0.0) <= -2 or _masked(text, start, end):
+            if self.known.instance["street_address"].get(kind, 0.0) <= -2 or masks and _masked(text, start, end):
                 continue
             if self.odds("street_address", kind, *context(text, start, end)) >= 0:
                 yield "street_address", start, end
@@ -453,7 +539,7 @@ class Extractor:
                 self.lookup.clear()
             bare = word.rstrip(".")
             given = len(bare) > 2 and not bare.isupper() and fold(_given(bare)) in self.given
-            role = self.lookup[word] = 2 if is_title(bare) else 3 if word[-1:] == "." else 1 if given else 0
+            role = self.lookup[word] = 2 if _TITLE[bare] else 3 if word[-1:] == "." else 1 if given else 0
         return role
 
     def _name_odds(self, text: str, word: str, start: int, end: int) -> float:
@@ -481,36 +567,35 @@ class Extractor:
         return name, best >= 0 and len(name["word"]) > 2
 
     def _names(self, text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-        blocked = _marked(text, organisations(text) + taken)
+        blocked = _marked(text, taken)
         found: list[tuple[int, int]] = []
         surnames: set[str] = set()
-        loose: list[tuple[str, int, int]] = []
+        masks = has_masks(text)
         french = "M." in text and _FRENCH.search(text) is not None
         past, tried, titled = 0, 0, -1
 
         def add(start: int, end: int, *parts: str) -> None:
-            if blocked.find(1, start, end) < 0 and not _MASK.search(text, max(0, start - 1), end + 1):
+            if blocked.find(1, start, end) < 0 and not (masks and _MASK.search(text, max(0, start - 1), end + 1)) and not in_company(text, start, end):
                 found.append((start, end))
                 surnames.update(_SPACE.sub("", p).lower() for p in parts)
 
         roles = self.lookup
-        for m in _CAPITAL_WORD.finditer(text):
+        for m in _NAME_PART.finditer(text):
             word = m.group()
             role = roles.get(word)
             if role is None:
                 role = self._role(word)
             start, after = m.span()
-            if not role and text[after : after + 1] != ",":
-                loose.append((word, start, after))
+            if start < past or start and (text[start - 1].isalnum() or text[start - 1] in "-‐"):
+                continue
+            if not role and text[after] != ",":
                 # the same pairs as are counted: one that is no name takes its words, too
-                if start >= max(past, tried) and not (start and (text[start - 1].isalnum() or text[start - 1] in "-‐")) and (pair := self._untitled(text, word, start, after)):
+                if start >= tried and (pair := self._untitled(text, word, start, after)):
                     name, tried = pair[0], pair[0].end()
                     if pair[1]:
                         add(start, tried, text[name.start("last") : tried], name["word"])
                         past = tried
                 continue
-            if start < past or start and (text[start - 1].isalnum() or text[start - 1] in "-‐"):
-                continue
             name = None
             if role == 3 and french and word == "M.":
                 role = 2
@@ -534,22 +619,44 @@ class Extractor:
                 past = end
                 continue
             if name is None or self._role(name["word"]) == 2 or len(name["word"]) < 3:
-                if not role:
-                    loose.append((word, start, after))
                 continue
             add(start if role != 2 else name.start("name"), name.end(), text[name.start("last") : name.end()], name["word"])
             past = name.end()
-        done = _marked(text, found)
-        for token, start, end in loose:
-            if token.lower() in surnames and done.find(1, start, end) < 0:
-                if start and text[start - 1].isalnum():
-                    continue
-                m = _LEADING.search(text[max(0, start - 12) : start])
-                if m and _SPACE.sub("", m.group() + token).lower() in surnames:
-                    start -= len(m.group())
-                add(start, end)
+        if surnames:
+            done = _marked(text, found)
+            for start, end in self._again(text, surnames):
+                if done.find(1, start, end) < 0 and self._role(text[start:end]) in (0, 3):
+                    m = _LEADING.search(text[max(0, start - 12) : start])
+                    if m and _SPACE.sub("", m.group() + text[start:end]).lower() in surnames:
+                        start -= len(m.group())
+                    add(start, end)
         return [("person_name", a, b) for a, b in found]
 
+    @staticmethod
+    def _again(text: str, surnames: set[str]) -> list[tuple[int, int]]:
+        """Where one of the surnames stands as a capitalised word."""
+        low = text.lower()
+        if len(low) != len(text):  # letters whose small form is longer
+            low = "".join([c.lower() if len(c.lower()) == 1 else c for c in text])
+        out = []
+        for surname in surnames:
+            size, at = len(surname), low.find(surname)
+            while at >= 0:
+                before = text[at - 1 : at]
+                if not (before and before.isalnum()):
+                    first = at
+                    if before and before in "-‐'’.":  # the word may have begun before
+                        first = max(0, at - 1 - len(text[max(0, at - 60) : at].rsplit(None, 1)[-1]))
+                    for m in _CAPITAL_WORD.finditer(text, first, at + size + 60):
+                        if m.start() >= at:
+                            if m.start() == at and m.end() == at + size:
+                                out.append((at, at + size))
+                            break
+                        if m.end() > at:
+                            break
+                at = low.find(surname, at + 1)
+        return out
+
     def _reversed(self, text: str, word: str, end: int) -> int:
         """End of ``, Given`` after a surname, 0 if there is none."""
         m = _COMMA_GIVEN.match(text, end)
