@@ -26,8 +26,8 @@ Defined results
 * A candidate that touches masked characters is no case; neither are bare
   initials, numbers of cases, files and invoices, streets without a number,
   and names inside organisations.
-* Overlaps: an earlier, then a longer finding wins.  Repeated rows give one case
-  for each id.  Whole texts are read; empty tables give no rows.
+* Overlaps: an earlier, then a longer finding wins.  Every row is searched by
+  itself, so repeated rows repeat their cases.  Whole texts are read; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ QUESTIONS = {"email": ("email",), "number": ("phone", "id_number"), "street": ("
 
 #: Seed instances (1: of the type, 0: of none).  Numbers by shape, # a digit and A a letter.
 SEEDS: dict[str, dict[str, float]] = {
-    "email": {"a@a": 1},
+    "email": {"a@a": 1, "a [at] a [dot] a": 1},
     "phone": {
         "+## #### ######": 1, "+## ## ##### ###": 1, "+# ###-###-####": 1, "+## # ## ## ## ##": 1, "(###) ###-####": 1,
         "AA ## ## ## A": 0, "AA######A": 0, "# ## ## ## ### ### ##": 0, "## ### ### ###": 0,
@@ -174,9 +174,12 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 _MAILBOX_WORD = re.compile(r"(?<![\[({<\w])(?:[\w+-]|\.(?=\w))+(?![\])}>])")
 
 
+_BRACKETS = str.maketrans("({<)}>", "[[[]]]")
+
+
 def mailbox_form(value: str) -> str:
-    """How a mailbox is spelt: words as a, signs, brackets and what they hold as they are."""
-    return _MAILBOX_WORD.sub("a", _SPACE.sub(" ", value.lower()))
+    """How a mailbox is spelt: words as a, all brackets alike, signs and what brackets hold as they are."""
+    return _MAILBOX_WORD.sub("a", _SPACE.sub(" ", value.lower())).translate(_BRACKETS)
 
 
 _STREET_FROM = re.compile(
@@ -683,7 +686,7 @@ def find_personal_info(df: DataFrame, key: str, text: str, knowledge: Knowledge
     """``key``, ``pii_type``, ``pii_text``: each different value of each text."""
 
     def emit(k, t, spans):
-        return {(k, kind, _SPACE.sub(" ", t[a:b])): None for kind, a, b in spans}
+        return {(k, kind, " ".join(t[a:b].split())): None for kind, a, b in spans}
 
     arrow = pa.schema([("k", pa.int64()), ("pii_type", pa.string()), ("pii_text", pa.string())])
     return _extract(df, key, text, knowledge, emit, "k bigint, pii_type string, pii_text string", arrow).withColumnRenamed("k", key)
