@@ -445,11 +445,12 @@ def learn(df: DataFrame, text: str, rounds: int = ROUNDS, share: float = SHARE)
         odds = F.aggregate(known, F.lit(base), lambda a, x: a + F.log(F.greatest(x, F.lit(0.01)) / F.greatest(1 - x, F.lit(0.01))) - F.lit(base))
         mention = step.filter(F.size(known) > 0).withColumn("m", 1 / (1 + F.exp(-odds)))
         scored = mention.select("q", "m", "n", each).filter("x.v IS NOT NULL").groupBy("q", "x.p", "x.v").agg((F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("s")).checkpoint()
-    fixed = {(q, i): s for q, own in SEEDS.items() for i, s in own.items()}
     out = Knowledge(*[{q: {} for own in QUESTIONS.values() for q in own} for _ in range(3)])
     target = dict(zip("ilr", (out.instance, out.before, out.after)))
     for q, p, value, s in scored.collect():  # at most 1 / share rows a class and part
-        target[p][q][value] = fixed.get((q, value), s) if p == "i" else s
+        target[p][q][value] = s
+    for q, own in SEEDS.items():  # seeds stay fixed, also those that no text holds
+        out.instance[q].update(own)
     return out
 
 
