@@ -65,6 +65,51 @@ def test_tables(spark):
     assert op.leaked_passages(docs.filter("false"), "doc_id", "text", items, "item_id", "text").count() == 0
 
 
-def test_blocks(monkeypatch):
-    monkeypatch.setattr(op, "BLOCK_ITEMS", 2)
-    assert [len(b) for b in op._blocks([(i, "t") for i in range(5)])] == [2, 2, 1]
+def test_ids_with_several_texts():
+    long, short = " ".join(f"alpha{i}" for i in range(40)), " ".join(f"beta{i}" for i in range(25))
+    for items in ([(7, long), (7, short)], [(7, short), (7, long)]):
+        assert found(f"x {long} y", items) == [7] and found(f"x {short} y", items) == [7]
+        assert found(f"{short} and {long}", items) == [7, 7]
+
+
+def test_an_altered_word_and_a_header_together():
+    words = [f"word{i}" for i in range(60)]
+    text = words[10:30]
+    text[5] = "altered"
+    text[9:9] = "- 3 - Smith v Jones".split()
+    assert found(" ".join(["before", *text, "after"]), [(1, " ".join(words))]) == [1]
+
+
+def test_a_chance_word_before_does_not_hide_a_passage():
+    words = [f"word{i}" for i in range(80)]
+    text = words[20:52]
+    text[8], text[20] = "altered", "changed"
+    doc = " ".join(["so", words[17], "a", "b", *text, "end"])
+    assert [p[:3] for p in op.Matcher([(1, " ".join(words))]).passages(doc)] == [(1, 20, 51)]
+
+
+def test_many_places_of_one_word():
+    item = " ".join(f"the word{i}" for i in range(30))
+    text = "the the the the the the " * 10 + item + " the the the the the" * 10
+    assert found(text, [(3, item)]) == [3]
+
+
+def test_joined_like_broadcast(spark):
+    rng = random.Random(11)
+    vocabulary = [f"word{i}" for i in range(60)]  # runs are shared between items
+    items = [(i // 2, " ".join(rng.choices(vocabulary, k=rng.choice([1, 2, 3, 12, 19, 40, 90])))) for i in range(60)]
+    docs = []
+    for i in range(120):
+        words = rng.choice(items)[1].split()
+        if len(words) > 25:
+            at = rng.randint(0, len(words) - 22)
+            words = words[at : at + rng.randint(15, 40)]
+        if len(words) > 10 and i % 3:
+            words[rng.randrange(len(words))] = "altered"
+        docs.append((i // 2, " ".join([*rng.choices(vocabulary, k=30), *words, *rng.choices(vocabulary, k=10)])))
+    docs += [(500, None), (501, ""), docs[0]]
+    d, t = spark.createDataFrame(docs, "k bigint, t string"), spark.createDataFrame([*items, (99, None), (98, "")], "i bigint, t string")
+    whole = sorted(map(tuple, op.leaked_passages(d, "k", "t", t, "i", "t").collect()))
+    joined = sorted(map(tuple, op.leaked_passages(d, "k", "t", t, "i", "t", block_items=5, map_bits=1 << 12).collect()))
+    assert whole == joined and len(whole) > 60
+    assert op.leaked_passages(d.filter("false"), "k", "t", t, "i", "t", block_items=5).count() == 0
