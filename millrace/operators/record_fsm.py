@@ -22,6 +22,8 @@ Defined results
   the first surplus cell, the record's end if cells are missing, or the start
   of the invalid cell.  ``error_column`` counts from 1, null for ``quoting``.
 * A null record is an empty record: one cell.
+* A cell whose bytes are no UTF-8 is invalid, whatever its type; the other records
+  load.
 * An empty cell is valid for strings only.  A ``char`` is exactly one byte.
 * Identical records are separate rows; an empty table gives no rows; columns
   other than the two named are never read.
@@ -103,7 +105,8 @@ class Tokens:
         data = raw.buffers()[2]
         self.data = bytes(memoryview(data)[offsets[0] : offsets[-1]]) if data is not None and len(raw) else b""
         self.start, self.end = ends_from_zero[:-1], ends_from_zero[1:]
-        at = np.frombuffer(self.data, dtype=np.uint8)
+        at = self.bytes = np.frombuffer(self.data, dtype=np.uint8)
+        self.quotes = np.flatnonzero(at == 34)
         chars = np.flatnonzero((at == 44) | (at == 34))
         # a record's end lies between bytes: doubled positions order it against them
         place = np.concatenate([2 * chars + 1, 2 * self.end])
@@ -136,6 +139,39 @@ class Tokens:
         self.cell_start = np.where(first, self.start[self.cell_record], np.concatenate([[0], self.cell_end[:-1] + 1])[: len(first)])
 
 
+    def values(self, cell: np.ndarray) -> pa.Array:
+        """Bytes of cells without their quotes, copied as one array; only cells with doubled quotes are handled singly."""
+        start, end = self.cell_start[cell], self.cell_end[cell]
+        quoted = (end > start) & (self.bytes[np.minimum(start, max(len(self.bytes) - 1, 0))] == 34) if len(self.bytes) else np.zeros(len(cell), bool)
+        start, end = start + quoted, end - quoted
+        size = end - start
+        offsets = np.zeros(len(cell) + 1, dtype=np.int64)
+        np.cumsum(size, out=offsets[1:])
+        out = self.bytes[np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])]
+        array = pa.Array.from_buffers(pa.large_binary(), len(cell), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+        doubled = quoted & (np.searchsorted(self.quotes, end) > np.searchsorted(self.quotes, start))
+        if doubled.any():
+            single = [self.data[a:b].replace(b'""', b'"') for a, b in zip(start[doubled].tolist(), end[doubled].tolist())]
+            array = pc.replace_with_mask(array, pa.array(doubled), pa.array(single, pa.large_binary()))
+        return array.cast(pa.binary())
+
+
+def _text(cells: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Cells as text, empty where the bytes are none, and where they are."""
+    try:
+        return cells.cast(pa.string()), np.ones(len(cells), dtype=bool)
+    except pa.ArrowInvalid:
+        out: list[str] = []
+        readable = np.ones(len(cells), dtype=bool)
+        for i, cell in enumerate(cells.to_pylist()):
+            try:
+                out.append(cell.decode())
+            except UnicodeDecodeError:
+                out.append("")
+                readable[i] = False
+        return pa.array(out, pa.string()), readable
+
+
 def _digits(fixed: np.ndarray, start: int, stop: int) -> np.ndarray:
     v = np.zeros(len(fixed), dtype=np.int64)
     for i in range(start, stop):
@@ -239,16 +275,15 @@ def _load(lines: pa.Array, kinds: Sequence[str]) -> tuple[list[pa.Array], pa.Arr
     reason[t.bad], reason[miscounted] = "quoting", "column_count"
     whole = np.flatnonzero(~t.bad & ~miscounted)
     columns: list[pa.Array] = []
-    data, wrong = t.data, np.zeros(len(whole), dtype=bool)
+    wrong = np.zeros(len(whole), dtype=bool)
     typed = []
     for c, kind in enumerate(kinds):
         cell = first_cell[whole] + c
-        start, end = t.cell_start[cell].tolist(), t.cell_end[cell].tolist()
-        words = [data[s:e] for s, e in zip(start, end)]
-        for i, w in enumerate(words):
-            if w[:1] == b'"':
-                words[i] = w[1:-1].replace(b'""', b'"')
-        values, ok = _parse(kind, pa.array(words, pa.binary()).cast(pa.string()))
+        words, readable = _text(t.values(cell))
+        values, ok = _parse(kind, words)
+        if not readable.all():
+            ok = ok & readable
+            values = pc.if_else(pa.array(readable), values, pa.scalar(None, values.type))
         new = ~ok & ~wrong
         at = whole[new]
         reason[at], column[at], offset[at] = "invalid_value", c + 1, t.cell_start[cell[new]] - t.start[at]

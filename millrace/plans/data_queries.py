@@ -61,16 +61,23 @@ def _record_sql(select: str, where: str) -> str:
     }
     fine = []
     for i, (_, kind) in enumerate(_COLUMNS, 1):
-        if kind:
-            value = f"v[{i}][1:10]" if kind == "TIMESTAMP" else f"v[{i}]"
-            fine.append(f"(regexp_full_match(v[{i}], '{shape.get(kind, '-?[0-9]+')}') AND try_cast({value} AS {'DATE' if kind == 'TIMESTAMP' else kind}) IS NOT NULL)")
+        value = f"v[{i}][1:10]" if kind == "TIMESTAMP" else f"v[{i}]"
+        fine.append(f"(regexp_full_match(v[{i}], '{shape.get(kind, '-?[0-9]+')}') AND try_cast({value} AS {'DATE' if kind == 'TIMESTAMP' else kind}) IS NOT NULL)" if kind else "true")
+    width = len(_COLUMNS)
     return f"""
         WITH cut AS (
-          SELECT raw_id, regexp_full_match(coalesce(line, ''), '{cell}(?:,{cell})*') AS quoted_well, regexp_extract_all(coalesce(line, '') || ',', '{cell},', 1) AS cells FROM hits_raw),
-        vals AS (SELECT raw_id, quoted_well, cells, list_transform(cells, lambda c: CASE WHEN c[1] = '"' THEN replace(c[2:-2], '""', '"') ELSE c END) AS v FROM cut),
-        judged AS (SELECT raw_id, v, CASE WHEN NOT quoted_well THEN 'quoting' WHEN len(cells) <> {len(_COLUMNS)} THEN 'column_count'
-          WHEN NOT ({" AND ".join(fine)}) THEN 'invalid_value' END AS reason FROM vals)
-        SELECT {select} FROM judged WHERE reason IS {where}"""
+          SELECT raw_id, coalesce(line, '') AS line, regexp_full_match(coalesce(line, ''), '{cell}(?:,{cell})*') AS quoted_well,
+            regexp_extract_all(coalesce(line, '') || ',', '{cell},', 1) AS cells, regexp_extract(coalesce(line, ''), '^(?:{cell},)*') AS head FROM hits_raw),
+        vals AS (SELECT *, list_transform(cells, lambda c: CASE WHEN c[1] = '"' THEN replace(c[2:-2], '""', '"') ELSE c END) AS v,
+            list_transform(cells, lambda c: strlen(c) + 1) AS sizes, regexp_extract(line[length(head) + 1:], '^("(?:[^"]|"")*")[^"]', 1) AS closed FROM cut),
+        judged AS (SELECT *, CASE WHEN NOT quoted_well THEN 'quoting' WHEN len(cells) <> {width} THEN 'column_count'
+          WHEN NOT ({" AND ".join(fine)}) THEN 'invalid_value' END AS reason,
+          list_position([{", ".join(fine)}], false) AS bad FROM vals),
+        placed AS (SELECT raw_id, v, reason,
+          CAST(CASE reason WHEN 'quoting' THEN strlen(head) + strlen(closed) WHEN 'column_count' THEN least(strlen(line), coalesce(list_sum(sizes[1:{width}]), 0))
+            ELSE coalesce(list_sum(sizes[1:bad - 1]), 0) END AS BIGINT) AS error_offset,
+          CAST(CASE reason WHEN 'column_count' THEN least(len(cells), {width}) + 1 WHEN 'invalid_value' THEN bad END AS BIGINT) AS error_column FROM judged)
+        SELECT {select} FROM placed WHERE reason IS {where}"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -79,5 +86,6 @@ def oracle_sql() -> dict[str, str]:
         "p1_totals": "SELECT key, count(*) AS n_rows, CAST(sum(count) AS BIGINT) AS total_count, min(min_url) AS least_url FROM search_phrase_group GROUP BY key",
         "p1_found": "SELECT key FROM search_phrase_group WHERE key <> '' GROUP BY key HAVING count(*) * 50 >= (SELECT count(*) FROM search_phrase_group)",
         "p5_found": _record_sql("raw_id, reason", "NOT NULL"),
+        "p5_faults": _record_sql("raw_id, reason, error_offset, error_column", "NOT NULL"),
         "p5_loaded": _record_sql(f"raw_id, {typed}", "NULL"),
     }

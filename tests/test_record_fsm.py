@@ -108,3 +108,13 @@ def test_integers_of_thousands_of_digits(kind):
     words = pa.array(["9" * 5000, "-" + "9" * 5000, "0" * 5000 + "7", "-" + "0" * 5000 + "7", "-0", "12"])
     values, ok = op._parse(kind, words)
     assert ok.tolist() == [False, False, True, True, True, True] and values.to_pylist() == [None, None, 7, -7, 0, 12]
+
+
+def test_bytes_that_are_no_text(spark):
+    """One fault with its offset, all other records loaded."""
+    good, bad = b'7,"say ""yes"", ok",2024-02-29 01:02:03,2024-02-29,5', b"8,caf\xe9,2024-02-29 01:02:03,2024-02-29,5"
+    rows = [(1, good), (2, bad), (3, b"\xff9,x,2024-02-29 01:02:03,2024-02-29,5"), (4, b'\xff,"open'), (5, "9,é,2024-02-29 01:02:03,2024-02-29,5".encode())]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "id bigint, line binary")
+    out = op.load_records(df, "id", "line", SCHEME)
+    assert [tuple(r) for r in op.faults(out).orderBy("id").collect()] == [(2, "invalid_value", 2, 2), (3, "invalid_value", 0, 1), (4, "quoting", 2, None)]
+    assert [r.Title for r in op.rows(out, "id", SCHEME).orderBy("id").collect()] == ['say "yes", ok', "é"]
