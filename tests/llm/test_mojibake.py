@@ -82,3 +82,38 @@ def test_twins_beside_a_hot_title(spark):
     counted = [(w, 40, 5) for w in greek] + [(op.garble(w, "iso8859_7", "cp1252"), 1, 1) for w in greek] + [(w, 1_000_000, 1) for w in CYRILLIC]
     words = spark.createDataFrame(counted, "w string, n bigint, v bigint")
     assert ("iso8859_7", "cp1252") in op.learn_transformations(words)
+
+
+@pytest.mark.parametrize("meant,read", [("utf_8", "gbk"), ("utf_8", "cp1255"), ("cp1256", "cp1252"), ("cp1255", "cp1252"), ("utf_8", "mac_greek")])
+def test_encodings_of_no_list_are_learned(spark, meant, read):
+    clean = {"cp1256": ["مرحبا", "سلام", "كتاب", "مدرسة", "طريق", "مدينة"], "cp1255": ["שלום", "מחשב", "ספריה", "תפוחים", "חנות", "עיתון"]}.get(meant, CYRILLIC)
+    assert (meant, read) not in op.COMMON
+    rows = [(i, f"{w} shop", None) for i, w in enumerate(clean * 5)]
+    rows += [(100 + i, f"{op.garble(w, meant, read)} shop", None) for i, w in enumerate(clean) if op.garble(w, meant, read)]
+    df = spark.createDataFrame(rows, "WatchID bigint, Title string, URL string")
+    got = {r.WatchID - 100: r.repaired for r in op.garbled_fields(df, "WatchID", ["Title", "URL"], ["URL"]).collect()}
+    assert len(got) >= 4 and all(got[i] == f"{clean[i]} shop" for i in got)
+
+
+def test_joined_like_sent(spark):
+    base = rows()
+    n = base[-1][0] + 1
+    more = [(n, "verão caf\ufffd", "http://a.test/for%C3%83%C2%AAt-1", "x"), (n + 1, None, "", None), (n + 2, "caf\ufffd", None, None)]
+    df = spark.createDataFrame([*base, *more, *base[-3:]], "WatchID bigint, Title string, URL string, field string")
+    for distinct in (True, False):
+        sent, joined = (sorted(map(tuple, op.garbled_fields(df, "WatchID", ["Title", "URL"], ["URL"], distinct, bound).collect())) for bound in (op.SENT_WORDS, 0))
+        assert sent == joined and len(sent) > 20
+
+
+def test_no_word_is_too_rare_to_prove_a_repair(spark):
+    counted = [(w, 1000, 500) for w in CYRILLIC] + [(op.garble(w, "cp1251", "koi8_r"), 1, 1) for w in CYRILLIC]
+    counted += [("журавль", 3, 3), (op.garble("журавль", "cp1251", "koi8_r"), 1, 1), ("погода\u0301", 10**9, 10**9)]
+    words = spark.createDataFrame(counted, "w string, n bigint, v bigint")
+    got = {r.w: r.out for r in op.restored_words(words, [("cp1251", "koi8_r")]).collect()}
+    assert got[op.garble("журавль", "cp1251", "koi8_r")] == "журавль" and "журавль" not in got
+
+
+def test_rare_characters_of_three_bytes(spark):
+    words = spark.createDataFrame([(op.garble("漢字", "utf_8", "cp1252"), 1, 1), (op.garble("ok🙂", "utf_8", "latin_1"), 1, 1), ("CZĘŚCI", 1, 1)], "w string, n bigint, v bigint")
+    got = {r.w: r.out for r in op.restored_words(words, [("utf_8", "cp1252"), ("utf_8", "latin_1"), ("utf_8", "cp1250")]).collect()}
+    assert sorted(got.values()) == ["ok🙂", "漢字"]
