@@ -17,6 +17,7 @@ from millrace.sources import csv_files
 from millrace.types import write_schema
 
 
+#: Names of commands and options are fixed values; single-file and single-line are additions.
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="millrace")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -28,14 +29,17 @@ def _parser() -> argparse.ArgumentParser:
         convert.add_argument(f"--{name}", required=True)
     convert.add_argument("--row-group-size", type=int, default=csv_files.ROWS_PER_GROUP)
     convert.add_argument("--compression", choices=sorted(csv_files.CODECS), default="lz4")
+    convert.add_argument("--single-line", action="store_true", help="no cell holds a line break: Spark's own reader, one scan")
     back = commands.add_parser("roundtrip", help="Parquet to CSV and schema file")
     for name in ("input", "schema-output", "csv-output"):
         back.add_argument(f"--{name}", required=True)
+    back.add_argument("--single-file", action="store_true", help="one CSV file, written by one task")
     run = commands.add_parser("run-query", help="SQL over a Parquet table into CSV")
     run.add_argument("--input", required=True)
     run.add_argument("--output", required=True)
     run.add_argument("--table-name", default="hits")
     run.add_argument("--compat", action="store_true")
+    run.add_argument("--single-file", action="store_true", help="one CSV file, written by one task")
     text = run.add_mutually_exclusive_group(required=True)
     text.add_argument("--query")
     text.add_argument("--query-file")
@@ -47,13 +51,13 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
     if args.command == "infer-schema":
         Path(args.output).write_text(write_schema(csv_files.infer_schema(spark, args.input)))
     elif args.command == "convert":
-        csv_files.convert(spark, args.schema, args.input, args.output, args.row_group_size, args.compression)
+        csv_files.convert(spark, args.schema, args.input, args.output, args.row_group_size, args.compression, not args.single_line)
     elif args.command == "roundtrip":
-        Path(args.schema_output).write_text(csv_files.export(spark, args.input, args.csv_output))
+        Path(args.schema_output).write_text(csv_files.export(spark, args.input, args.csv_output, args.single_file))
     else:
         engine = Engine(spark, Profile(compat=args.compat))
         engine.register_table(args.table_name, args.input)
-        csv_files.write_csv(engine.sql(args.query if args.query is not None else Path(args.query_file).read_text()), args.output)
+        csv_files.write_csv(engine.sql(args.query if args.query is not None else Path(args.query_file).read_text()), args.output, args.single_file)
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -18,6 +18,7 @@ from millrace import functions as fn
 from millrace.ast import Agg, And, Arith, Call, Case, Compare, Expr, In, Item, Like, Num, Pred, Query, Ref, Star, Str, label
 from millrace.errors import InvalidArgument, Unsupported
 from millrace.profile import Profile
+from millrace.types import kind_of
 
 Typed = tuple[Column, T.DataType]
 
@@ -37,7 +38,7 @@ class Scope:
         names = frozenset(x.lower() for x in (query.table, query.alias) if x)
         columns: dict[str, Typed] = {}
         for field in df.schema.fields:
-            columns.setdefault(field.name.lower(), (F.col(_quoted(field.name)), field.dataType))
+            columns.setdefault(field.name.lower(), (F.col(_quoted(field.name)), kind_of(field)))
         return cls(columns, names)
 
     def ref(self, ref: Ref) -> Typed:
@@ -191,9 +192,35 @@ def _aggregates(node: object) -> list[Agg]:
     return []
 
 
-def _built(agg: Agg, scope: Scope, whole: bool, shared: dict[Expr, tuple[Column, Column]]) -> Column:
-    """The aggregate's Column; ``whole`` for a query without groups; ``shared`` keeps the
-    sum and count that linear sums of one column have in common."""
+class _Linear:
+    """Sums of ``c + k``: ``SUM(c) + k * COUNT(c)``, so that all sums of one column share two accumulators."""
+
+    def __init__(self, scope: Scope) -> None:
+        self.scope = scope
+        self.bases: dict[Expr, int] = {}
+        self.columns: list[Column] = []
+
+    def text(self, agg: Agg) -> str | None:
+        """The sum over the accumulators, None for other aggregates."""
+        arg = agg.arg
+        if agg.name != "SUM" or not (isinstance(arg, Arith) and isinstance(arg.left, Ref) and isinstance(arg.right, Num) and arg.right.text.isdigit()):
+            return None
+        base, kind = self.scope.value(arg.left)
+        self.scope.value(arg)  # raises what the plain sum would
+        shift = int(arg.right.text) * (1 if arg.op == "+" else -1)
+        if arg.left not in self.bases:
+            self.bases[arg.left] = len(self.bases)
+            n = self.bases[arg.left]
+            plain = F.coalesce(F.sum(base.cast("bigint")), F.lit(0)) if isinstance(kind, (T.ShortType, T.IntegerType)) else fn.total(base, kind)
+            self.columns += [plain.alias(f"b{n}"), F.count(base).alias(f"n{n}")]
+        n = self.bases[arg.left]
+        if isinstance(kind, (T.ShortType, T.IntegerType)) and abs(shift) < 1 << 31:
+            return f"cast(b{n} + n{n} * {shift}L as decimal(38,0))"
+        return f"cast(cast(b{n} as decimal(38,0)) + cast(cast('{shift}' as decimal(38,0)) * n{n} as decimal(38,0)) as decimal(38,0))"
+
+
+def _built(agg: Agg, scope: Scope, whole: bool) -> Column:
+    """The aggregate's Column; ``whole`` for a query without groups."""
     if isinstance(agg.arg, Star):
         return F.count(F.lit(1))
     column, kind = scope.value(agg.arg)
@@ -206,19 +233,6 @@ def _built(agg: Agg, scope: Scope, whole: bool, shared: dict[Expr, tuple[Column,
         raise Unsupported(f"{agg.name} of {kind.simpleString()}")
     if agg.name == "AVG":
         return fn.average(column, kind)
-    linear = agg.arg
-    if isinstance(linear, Arith) and isinstance(linear.left, Ref) and isinstance(linear.right, Num) and linear.right.text.isdigit():
-        # SUM(c + k) = SUM(c) + k * COUNT(c): many of them share two accumulators
-        base, base_kind = scope.value(linear.left)
-        shift = int(linear.right.text) * (1 if linear.op == "+" else -1)
-        narrow = isinstance(base_kind, (T.ShortType, T.IntegerType)) and abs(shift) < 1 << 31
-        if linear.left not in shared:
-            plain = F.coalesce(F.sum(base.cast("bigint")), F.lit(0)) if narrow else fn.total(base, base_kind)
-            shared[linear.left] = plain, F.count(base)
-        plain, count = shared[linear.left]
-        if narrow:
-            return (plain + count * shift).cast(fn.WIDE)
-        return (plain.cast(fn.WIDE) + (F.lit(shift).cast(fn.WIDE) * count).cast(fn.WIDE)).cast(fn.WIDE)
     return fn.total(column, kind)
 
 
@@ -274,7 +288,8 @@ def _plain(query: Query, df: DataFrame, scope: Scope, offset: int, profile: Prof
         rest = [F.col(f"o{i}") for i, (_, k) in enumerate(outputs) if not isinstance(k, T.MapType)]
         out = out.orderBy(*[F.desc(f"s{i}") if o.descending else F.asc(f"s{i}") for i, (_, _, o) in enumerate(keys)], *rest)
     out = _cut(out, offset, query.limit)
-    return out.select(*[f"o{i}" for i in range(len(outputs))], *[f"h{i}" for i in range(len(hidden))]).toDF(*names, *[n for n, _ in hidden])
+    shown = [*((f"o{i}", n) for i, n in enumerate(names)), *((f"h{i}", n) for i, (n, _) in enumerate(hidden))]
+    return out.select(*[F.col(c).alias(n) for c, n in shown])
 
 
 def _group_keys(query: Query, scope: Scope) -> list[Expr]:
@@ -337,14 +352,17 @@ def _grouped(query: Query, df: DataFrame, scope: Scope, offset: int) -> DataFram
         column, kind = scope.value(key)
         key_columns.append(column.alias(f"k{i}"))
         done.setdefault(_unqualified(key), (F.col(f"k{i}"), kind))
-    shared: dict[Expr, tuple[Column, Column]] = {}
-    built = [_built(a, scope, not keys, shared).alias(f"a{i}") for i, a in enumerate(aggs)]
+    linear = _Linear(scope)
+    texts = [linear.text(a) for a in aggs]
+    built = [_built(a, scope, not keys).alias(f"a{i}") for i, a in enumerate(aggs) if texts[i] is None] + linear.columns
     for i, a in enumerate(aggs):
         done[_unqualified(a)] = (F.col(f"a{i}"), _kind_of(a, scope))
     if keys:
         out = df.groupBy(*key_columns).agg(*built) if built else df.select(*key_columns).distinct()
     else:
         out = df.agg(*built)
+    if linear.columns:
+        out = out.selectExpr(*[f"k{i}" for i in range(len(keys))], *[f"a{i}" if text is None else f"{text} AS a{i}" for i, text in enumerate(texts)])
     after = _Output({}, scope.qualifiers, done)
     outputs = [after.value(i.expr) for i in query.items]
     for item, typed in zip(query.items, outputs):
@@ -353,7 +371,6 @@ def _grouped(query: Query, df: DataFrame, scope: Scope, offset: int) -> DataFram
                 after.columns.setdefault(name.lower(), typed)
     if query.having is not None:
         out = out.filter(after.truth(query.having))
-    cells = [c.alias(f"o{i}") for i, (c, _) in enumerate(outputs)]
     sorts = []
     for order in query.order:
         column = after.value(order.expr)[0]
@@ -365,4 +382,4 @@ def _grouped(query: Query, df: DataFrame, scope: Scope, offset: int) -> DataFram
         sorts += [c.asc() for c, _ in outputs]
         out = out.orderBy(*sorts)
     out = _cut(out, offset, query.limit)
-    return out.select(*cells).toDF(*[i.alias or label(i.expr) for i in query.items])
+    return out.select(*[c.alias(i.alias or label(i.expr)) for (c, _), i in zip(outputs, query.items)])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.errors import InvalidArgument, Unsupported
+from millrace.types import CharType
 
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 WIDE = T.DecimalType(38, 0)
@@ -19,7 +20,7 @@ def is_integer(kind: T.DataType) -> bool:
 
 
 def is_summable(kind: T.DataType) -> bool:
-    return is_integer(kind) or isinstance(kind, T.BooleanType)
+    return is_integer(kind) or isinstance(kind, (T.BooleanType, CharType))
 
 
 def is_time(kind: T.DataType) -> bool:
@@ -87,6 +88,8 @@ def wide(column: Column, kind: T.DataType) -> Column:
     """A summand whose total cannot overflow: 64 bits suffice below 32-bit inputs, else 38 digits."""
     if isinstance(kind, T.BooleanType):
         return column.cast("int").cast("bigint")
+    if isinstance(kind, CharType):
+        return F.ascii(column).cast("bigint")
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):
         return column.cast("bigint")
     return column.cast(WIDE)

@@ -46,8 +46,8 @@ from millrace.session import spread
 CHUNK = 256
 BUFFER = 1 << 23
 
-_COMMA, _QUOTE, _END, _OTHER, _SAME = range(5)
-_STEP = np.array(
+COMMA, QUOTE, END, OTHER, SAME = range(5)
+STEP = np.array(
     [
         [0, 0, 2, 0, 4],  # comma
         [2, 1, 3, 2, 4],  # quote
@@ -57,8 +57,14 @@ _STEP = np.array(
     ],
     dtype=np.int8,
 )
-#: Rows 0-2: the event alone; 3-5: other bytes, then the event; 6: padding.
-_TABLE = np.vstack([_STEP[:3], _STEP[:3][:, _STEP[_OTHER]], _STEP[_SAME : _SAME + 1]]).astype(np.int8)
+
+
+def table_of(step: np.ndarray) -> np.ndarray:
+    """Rows 0-2: the event alone; 3-5: other bytes, then the event; 6: padding."""
+    return np.vstack([step[:3], step[:3][:, step[OTHER]], step[SAME : SAME + 1]]).astype(np.int8)
+
+
+_TABLE = table_of(STEP)
 
 _ARROW_TYPE = {
     "int64": pa.int64(), "int32": pa.int32(), "int16": pa.int16(), "int128": pa.decimal128(38, 0), "string": pa.string(),
@@ -70,28 +76,39 @@ _SPARK_TYPE = {
 }
 
 
-def states_before(kind: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
-    """State before every event, by composing transition functions across chunks."""
+def _functions(kind: np.ndarray, chunk: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Events by chunk, and for every chunk the state after it for each state before the first one."""
     n = len(kind)
     chunks = -(-n // chunk)
-    grid = np.full(chunks * chunk, len(_TABLE) - 1, dtype=np.int8)
+    grid = np.full(chunks * chunk, len(table) - 1, dtype=np.int8)
     grid[:n] = kind
     grid = grid.reshape(chunks, chunk)
     whole = np.tile(np.arange(5, dtype=np.int8), (chunks, 1))
     for j in range(chunk):
-        whole = _TABLE[grid[:, j][:, None], whole]
+        whole = table[grid[:, j][:, None], whole]
     reach = 1
     while reach < chunks:  # whole[i] becomes the composition of chunks 0..i
         later = np.take_along_axis(whole[reach:], whole[:-reach].astype(np.int64), axis=1)
         whole = np.concatenate([whole[:reach], later])
         reach *= 2
-    state = np.zeros(chunks, dtype=np.int8)
-    state[1:] = whole[:-1, 0]
+    return grid, whole
+
+
+def composed(kind: np.ndarray, table: np.ndarray = _TABLE, chunk: int = CHUNK) -> np.ndarray:
+    """State after all events, for each state before them."""
+    return _functions(kind, chunk, table)[1][-1] if len(kind) else np.arange(5, dtype=np.int8)
+
+
+def states_before(kind: np.ndarray, chunk: int = CHUNK, start: int = 0, table: np.ndarray = _TABLE) -> np.ndarray:
+    """State before every event, by composing transition functions across chunks."""
+    grid, whole = _functions(kind, chunk, table)
+    state = np.full(len(grid), start, dtype=np.int8)
+    state[1:] = whole[:-1, start]
     out = np.empty_like(grid)
     for j in range(chunk):
         out[:, j] = state
-        state = _TABLE[grid[:, j], state]
-    return out.reshape(-1)[:n]
+        state = table[grid[:, j], state]
+    return out.reshape(-1)[: len(kind)]
 
 
 class Tokens:
@@ -110,29 +127,29 @@ class Tokens:
         chars = np.flatnonzero((at == 44) | (at == 34))
         # a record's end lies between bytes: doubled positions order it against them
         place = np.concatenate([2 * chars + 1, 2 * self.end])
-        what = np.concatenate([np.where(at[chars] == 44, _COMMA, _QUOTE), np.full(len(self.end), _END)]).astype(np.int8)
+        what = np.concatenate([np.where(at[chars] == 44, COMMA, QUOTE), np.full(len(self.end), END)]).astype(np.int8)
         order = np.argsort(place, kind="stable")
         what, pos = what[order], place[order] >> 1
-        after = pos + (what != _END)
+        after = pos + (what != END)
         before = np.concatenate([[0], after[:-1]])
         other = pos > before
         state = states_before((what + 3 * other).astype(np.int8), chunk)
-        mid = np.where(other, _STEP[_OTHER][state], state)
-        record = np.cumsum(what == _END) - (what == _END)
-        closing = what == _END
+        mid = np.where(other, STEP[OTHER][state], state)
+        record = np.cumsum(what == END) - (what == END)
+        closing = what == END
         final = mid[closing]
         self.bad = (final == 2) | (final == 4)
         n = len(self.start)
         self.bad_at = np.full(n, -1, dtype=np.int64)
         opened = np.full(n, -1, dtype=np.int64)
-        opens = (what == _QUOTE) & (mid == 0)
+        opens = (what == QUOTE) & (mid == 0)
         opened[record[opens]] = pos[opens]  # in order: the last opening quote of each record stays
         spilt = other & (state == 3)
         self.bad_at[record[spilt]] = before[spilt]
         open_end = final == 2
         self.bad_at[open_end] = opened[open_end]
         self.bad_at -= self.start
-        cuts = (what == _COMMA) & ((mid == 0) | (mid == 1) | (mid == 3)) | closing
+        cuts = (what == COMMA) & ((mid == 0) | (mid == 1) | (mid == 3)) | closing
         self.cell_record, self.cell_end = record[cuts], pos[cuts]
         self.cells = np.bincount(self.cell_record, minlength=n)
         first = np.concatenate([[True], self.cell_record[1:] != self.cell_record[:-1]]) if len(self.cell_record) else np.zeros(0, bool)
@@ -195,7 +212,7 @@ def _fixed(words: pa.Array, width: int) -> np.ndarray:
 
 def _integer(word: str, digits: int) -> int | None:
     """The value, None if it has more digits; int() refuses texts of thousands of digits."""
-    bare = word.lstrip("-").lstrip("0") or "0"
+    bare = word.lstrip("+-").lstrip("0") or "0"
     if len(bare) > digits:
         return None
     return -int(bare) if word[0] == "-" else int(bare)
@@ -214,10 +231,11 @@ def _parse(kind: str, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
         yes, no = np.asarray(pc.is_in(low, pa.array(["true", "1"]))), np.asarray(pc.is_in(low, pa.array(["false", "0"])))
         return pa.array(yes, mask=~(yes | no)), yes | no
     shape = {"date": r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z", "timestamp": r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?\z"}
+    shape["int128"] = r"\A[+-]?[0-9]+\z"
     ok = np.asarray(pc.match_substring_regex(words, shape.get(kind, r"\A-?[0-9]+\z"))).copy()
     at = np.flatnonzero(ok)
     good = words.take(pa.array(at))
-    if kind in shape:
+    if kind in ("date", "timestamp"):
         fixed = _fixed(good, 10 if kind == "date" else 26)
         value, exists = _days(fixed)
         if kind == "timestamp":
@@ -312,9 +330,10 @@ def scheme_kinds(rows: Sequence[tuple[str, str]]) -> list[str]:
     return kinds
 
 
-def load_records(df: DataFrame, record_id: str, line: str, schema: Sequence[tuple[str, str]]) -> DataFrame:
+def load_records(df: DataFrame, record_id: str, line: str, schema: Sequence[tuple[str, str]], balance: bool = True) -> DataFrame:
     """``record_id``, ``reason``, ``error_offset``, ``error_column`` and the struct ``record``
-    with the typed columns of ``schema``; ``reason`` is null exactly for loaded records."""
+    with the typed columns of ``schema``; ``reason`` is null exactly for loaded records.
+    Without ``balance`` the rows stay where they are, in their order."""
     kinds = scheme_kinds(schema)
     id_field = df.select(F.col(record_id).alias("id"))
     id_type = id_field.schema[0].dataType.simpleString()
@@ -337,7 +356,8 @@ def load_records(df: DataFrame, record_id: str, line: str, schema: Sequence[tupl
                 start = stop
 
     struct = ", ".join(f"c{i}: {_SPARK_TYPE[k]}" for i, k in enumerate(kinds))
-    out = spread(df.select(F.col(record_id).alias("id"), F.col(line).cast("string").alias("line"))).mapInArrow(
+    lines = df.select(F.col(record_id).alias("id"), F.col(line).cast("string").alias("line"))
+    out = (spread(lines) if balance else lines).mapInArrow(
         run, f"id {id_type}, reason string, error_offset bigint, error_column bigint, record struct<{struct}>"
     )
     return out.withColumnRenamed("id", record_id)

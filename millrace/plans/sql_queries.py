@@ -11,15 +11,21 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.engine import Engine
-from millrace.session import table
+from millrace.session import table, table_path
+from millrace.types import named
 
 
 @dataclass(frozen=True)
 class Case:
-    """``names`` rename the output; ``order`` are output names, ``-`` before a descending one."""
+    """``names`` rename the output (none: the dialect's own names stay); ``order`` are output names, ``-`` before a descending one.
+
+    ``footers`` lets file footers answer; ``text`` gives sums as text, which shows all their digits;
+    ``prepare`` derives the table asked.
+    """
 
     table: str
     dialect: str
@@ -27,13 +33,20 @@ class Case:
     names: tuple[str, ...]
     order: tuple[str, ...] = ()
     tail: str = ""
+    footers: bool = False
+    text: bool = False
+    prepare: Callable[[DataFrame], DataFrame] | None = None
 
     def run(self, spark: SparkSession, d: str) -> DataFrame:
-        engine = Engine(spark)
-        engine.register_table(self.table, table(spark, d, self.table))
-        out = engine.sql(self.dialect).toDF(*self.names)
-        # the oracle has no 38-digit sums: both sides give 64-bit integers
-        return out.selectExpr(*[f"cast({f.name} as bigint) {f.name}" if isinstance(f.dataType, T.DecimalType) else f.name for f in out.schema.fields])
+        engine = Engine(spark, metadata_aggregates=self.footers)
+        source = table_path(d, self.table) if self.prepare is None else self.prepare(table(spark, d, self.table))
+        engine.register_table(self.table, source)
+        out = engine.sql(self.dialect)
+        if self.names:
+            out = out.toDF(*self.names)
+        # the oracle has no 38-digit sums: both sides give 64-bit integers, or text
+        kinds = {f.name: "string" if self.text else "bigint" for f in out.schema.fields if isinstance(f.dataType, T.DecimalType)}
+        return out.selectExpr(*[f"cast(`{n}` as {kinds[n]}) `{n}`" if n in kinds else f"`{n}`" for n in out.columns]) if kinds else out
 
     def sql(self) -> str:
         if not self.tail:
@@ -59,8 +72,9 @@ _DOMAIN = r"^https?://(?:www\.)?([^/]+)/.*$"
 #: The skewed counter of the click table is looked up through a range, so the queries find rows at any scale.
 _MONTH = "EventDate >= '2023-01-03' AND EventDate <= '2023-01-12'"
 
+#: The texts of q00 to q42 ask the 43 questions of a public benchmark on one table.
 CASES: dict[str, Case] = {
-    "q00_count": _hits("SELECT COUNT(*) FROM hits", "SELECT count(*) AS c FROM hits", "c"),
+    "q00_count": Case("hits", "SELECT COUNT(*) FROM hits", "SELECT count(*) AS c FROM hits", ("c",), footers=True),
     "q01_count_ne": _hits("SELECT COUNT(*) FROM hits WHERE AdvEngineID <> 0", "SELECT count(*) AS c FROM hits WHERE AdvEngineID <> 0", "c"),
     "q02_sum_count_avg": _hits(
         "SELECT SUM(AdvEngineID), COUNT(*), AVG(ResolutionWidth) FROM hits",
@@ -68,7 +82,7 @@ CASES: dict[str, Case] = {
     "q03_avg_bigint": _hits("SELECT AVG(UserID) FROM hits", f"SELECT {_avg('UserID')} AS a FROM hits", "a"),
     "q04_distinct_int": _hits("SELECT COUNT(DISTINCT UserID) FROM hits", "SELECT count(DISTINCT UserID) AS u FROM hits", "u"),
     "q05_distinct_str": _hits("SELECT COUNT(DISTINCT SearchPhrase) FROM hits", "SELECT count(DISTINCT SearchPhrase) AS u FROM hits", "u"),
-    "q06_min_max_date": _hits("SELECT MIN(EventDate), MAX(EventDate) FROM hits", "SELECT min(EventDate) AS lo, max(EventDate) AS hi FROM hits", "lo hi"),
+    "q06_min_max_date": Case("hits", "SELECT MIN(EventDate), MAX(EventDate) FROM hits", "SELECT min(EventDate) AS lo, max(EventDate) AS hi FROM hits", ("lo", "hi"), footers=True),
     "q07_group_filter_order": _hits(
         "SELECT AdvEngineID, COUNT(*) FROM hits WHERE AdvEngineID <> 0 GROUP BY AdvEngineID ORDER BY COUNT(*) DESC",
         "SELECT AdvEngineID AS k, count(*) AS c FROM hits WHERE AdvEngineID <> 0 GROUP BY k", "k c"),
@@ -113,9 +127,30 @@ CASES: dict[str, Case] = {
     "q22_like_not_like": _hits(
         "SELECT SearchPhrase, MIN(URL), MIN(Title), COUNT(*) AS c, COUNT(DISTINCT UserID) FROM hits WHERE Title LIKE '%arden%' AND URL NOT LIKE '%.example/%' AND SearchPhrase <> '' GROUP BY SearchPhrase ORDER BY c DESC LIMIT 10",
         "SELECT SearchPhrase AS k, min(URL) AS u, min(Title) AS t, count(*) AS c, count(DISTINCT UserID) AS n FROM hits WHERE Title LIKE '%arden%' AND URL NOT LIKE '%.example/%' AND SearchPhrase <> '' GROUP BY k", "k u t c n", "-c", "LIMIT 10"),
-    "q23_star_order_limit": Case(
+    "q23_star_order_limit": _hits(
+        "SELECT * FROM hits WHERE URL LIKE '%garden%' ORDER BY EventTime LIMIT 10", "SELECT * FROM hits WHERE URL LIKE '%garden%'",
+        "WatchID Title EventTime EventDate ClientEventTime CounterID ClientIP RegionID UserID URL Referer IsRefresh ResolutionWidth MobilePhone MobilePhoneModel TraficSourceID SearchEngineID SearchPhrase AdvEngineID IsLink IsDownload DontCountHits WindowClientWidth",
+        "EventTime", "LIMIT 10"),
+    "star_events": Case(
         "events", "SELECT * FROM events WHERE event_type LIKE '%i%' ORDER BY ts LIMIT 10", "SELECT * FROM events WHERE event_type LIKE '%i%'",
         ("event_id", "ts", "user_id", "event_type", "value", "props"), ("ts",), "LIMIT 10"),
+    "count_expr": _hits("SELECT COUNT(URL), COUNT(RegionID), COUNT(ClientIP - 1) FROM hits", "SELECT count(URL) AS u, count(RegionID) AS r, count(ClientIP - 1) AS i FROM hits", "u r i"),
+    "count_expr_footers": Case("hits", "SELECT COUNT(URL), COUNT(*), MAX(CounterID) FROM hits", "SELECT count(URL) AS u, count(*) AS c, max(CounterID) AS m FROM hits", ("u", "c", "m"), footers=True),
+    "having_without_group": _hits("SELECT COUNT(*), SUM(AdvEngineID) FROM hits HAVING COUNT(*) > 10", f"SELECT count(*) AS c, {_sum('AdvEngineID')} AS s FROM hits HAVING count(*) > 10", "c s"),
+    "having_rejects_all": _hits("SELECT COUNT(*) FROM hits HAVING COUNT(*) < 0", "SELECT count(*) AS c FROM hits HAVING count(*) < 0", "c"),
+    "empty_result": _hits("SELECT URL, EventDate, CounterID FROM hits WHERE CounterID < 0 AND CounterID > 0", "SELECT URL AS u, EventDate AS d, CounterID AS c FROM hits WHERE false", "u d c"),
+    "default_names": _hits(
+        "SELECT COUNT(*), SUM(RegionID), AVG(ResolutionWidth), MIN(h.EventDate), COUNT(DISTINCT UserID) FROM hits AS h",
+        f"""SELECT count(*) AS "COUNT(*)", {_sum('RegionID')} AS "SUM(RegionID)", {_avg('ResolutionWidth')} AS "AVG(ResolutionWidth)", min(EventDate) AS "MIN(h.EventDate)", count(DISTINCT UserID) AS "COUNT(DISTINCT UserID)" FROM hits""", ""),
+    "sum_beyond_64_bits": Case("hits", "SELECT SUM(UserID), SUM(WatchID + 5) FROM hits", "SELECT CAST(sum(CAST(UserID AS HUGEINT)) AS VARCHAR) AS u, CAST(sum(CAST(WatchID AS HUGEINT) + 5) AS VARCHAR) AS w FROM hits", ("u", "w"), text=True),
+    "bool_sum": Case(
+        "hits", "SELECT CounterID, SUM(Refreshed), AVG(Refreshed), COUNT(*) AS c FROM hits GROUP BY CounterID ORDER BY c DESC LIMIT 10",
+        f"SELECT CounterID AS k, {_sum('CAST(IsRefresh = 1 AS INTEGER)')} AS s, {_avg('CAST(IsRefresh = 1 AS INTEGER)')} AS a, count(*) AS c FROM hits GROUP BY k",
+        ("k", "s", "a", "c"), ("-c",), "LIMIT 10", prepare=lambda df: df.select("CounterID", (F.col("IsRefresh") == 1).alias("Refreshed"))),
+    "char_sum": Case(
+        "lineitem", "SELECT SUM(l_returnflag), AVG(l_returnflag), MAX(l_returnflag) FROM lineitem",
+        f"SELECT {_sum('ascii(l_returnflag)')} AS s, {_avg('ascii(l_returnflag)')} AS a, max(l_returnflag) AS m FROM lineitem",
+        ("s", "a", "m"), prepare=lambda df: df.select(named(F.col("l_returnflag"), "l_returnflag", "char"))),
     "q24_order_hidden": _hits(
         "SELECT SearchPhrase FROM hits WHERE SearchPhrase <> '' ORDER BY EventTime LIMIT 10",
         "SELECT SearchPhrase AS k FROM (SELECT SearchPhrase, EventTime FROM hits WHERE SearchPhrase <> '' ORDER BY EventTime ASC NULLS FIRST, SearchPhrase LIMIT 10)", "k"),

@@ -8,10 +8,16 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.errors import InvalidArgument
+
+
+def table_path(sf_dir: str, name: str) -> str:
+    return f"{sf_dir}/{name}.parquet"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -34,11 +40,13 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; ``fallback`` is
-    used only where the cluster names none (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``; only a local master, as in
+    tests, may have none and takes ``fallback`` or a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise InvalidArgument("spark.checkpoint.dir must name a folder that all executors share")
     if fallback is None:
         fallback = tempfile.mkdtemp(prefix="millrace-")
     return fallback

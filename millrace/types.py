@@ -16,6 +16,26 @@ SPARK: dict[str, T.DataType] = {
     "int64": T.LongType(), "string": T.StringType(), "bool": T.BooleanType(), "int16": T.ShortType(), "int32": T.IntegerType(),
     "int128": T.DecimalType(38, 0), "date": T.DateType(), "timestamp": T.TimestampNTZType(), "char": T.StringType(),
 }
+
+
+class CharType(T.StringType):
+    """A string of exactly one byte, which sums as that byte's value."""
+
+
+#: Key of a column's metadata that keeps its schema type where Spark has none of its own.
+TYPE_KEY = "schema_type"
+
+
+def kind_of(field: T.StructField) -> T.DataType:
+    """A column's type in the dialect."""
+    return CharType() if isinstance(field.dataType, T.StringType) and (field.metadata or {}).get(TYPE_KEY) == "char" else field.dataType
+
+
+def named(column: Column, name: str, kind: str) -> Column:
+    """A column of a schema type under its name."""
+    return column.alias(name, metadata={TYPE_KEY: kind}) if kind == "char" else column.alias(name)
+
+
 #: Order in which inference tries the types; the first that fits every value wins.
 INFERENCE = ("bool", "int16", "int32", "int64", "int128", "date", "timestamp", "char", "string")
 
@@ -54,7 +74,9 @@ def printed(column: Column, kind: T.DataType) -> Column:
 
 
 def name_of(kind: T.DataType) -> str:
-    """Type name of a Spark type."""
+    """Type name of a type in the dialect."""
+    if isinstance(kind, CharType):
+        return "char"
     for name, spark in SPARK.items():
         if type(spark) is type(kind) and name != "char":
             return name

@@ -77,7 +77,7 @@ def test_roundtrip(spark, tmp_path):
     for codec in ("lz4", "none"):
         out = str(tmp_path / f"p_{codec}")
         c.convert(spark, schema, put(tmp_path / "d.csv", text), out, 2, codec)
-        assert c.export(spark, out, str(tmp_path / f"back_{codec}")) == "a,int64\nb,int32\nname,string\nt,timestamp\n"
+        assert c.export(spark, out, str(tmp_path / f"back_{codec}"), single_file=True) == "a,int64\nb,int32\nname,string\nt,timestamp\n"
         assert only(tmp_path / f"back_{codec}") == text
     with pytest.raises(InvalidArgument):
         c.convert(spark, schema, schema, "x", 0)
@@ -95,9 +95,59 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["infer-schema", "--input", data, "--output", str(schema)]) == 0
     assert schema.read_text() == "column_1,int16\ncolumn_2,string\ncolumn_3,int16\n"
     assert main(["convert", "--schema", str(schema), "--input", data, "--output", parquet, "--compression", "none"]) == 0
-    assert main(["roundtrip", "--input", parquet, "--schema-output", str(tmp_path / "s2.csv"), "--csv-output", str(tmp_path / "b")]) == 0
+    assert main(["roundtrip", "--input", parquet, "--schema-output", str(tmp_path / "s2.csv"), "--csv-output", str(tmp_path / "b"), "--single-file"]) == 0
     assert only(tmp_path / "b") == (tmp_path / "in.csv").read_text()
     assert main(["run-query", "--input", parquet, "--output", str(tmp_path / "q"), "--query", "SELECT SUM(column_3), COUNT(*) FROM hits WHERE column_1 > 1"]) == 0
     assert only(tmp_path / "q") == "50,2\n"
     assert main(["run-query", "--input", parquet, "--output", str(tmp_path / "q2"), "--query", "SELECT nope FROM hits"]) == 1
     assert "InvalidArgument" in capsys.readouterr().err
+
+
+def test_mixed_line_ends_and_odd_records(spark, tmp_path):
+    text = '1,a\n2,"b\r\nc"\r\n3,\r4,"x""\n""y"\n5,q"u\r\n6,"\r"\r\r7,end'
+    from millrace.sources.csv_records import records
+
+    got = [bytes(r.record).decode() for r in records(spark, put(tmp_path / "m.csv", text)).collect()]
+    assert got == ["1,a", '2,"b\r\nc"', "3,", '4,"x""\n""y"', '5,q"u', '6,"\r"', "", "7,end"]
+    assert records(spark, put(tmp_path / "e.csv", "")).count() == 0
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        c.read_csv(spark, put(tmp_path / "o.csv", '1,"open\n2,x\n'), [("a", "int64"), ("b", "string")]).collect()
+
+
+@pytest.mark.parametrize("size", [16, 61])
+def test_splits_may_fall_anywhere(spark, tmp_path, size):
+    import csv
+    import io
+    import random
+
+    rng = random.Random(size)
+    rows = [(str(i), "".join(rng.choice(['"', ",", "\n", "\r\n", "a", "é", " "]) for _ in range(rng.randint(0, 30)))) for i in range(25)]
+    rows[20] = ("20", "long\n" * 30)  # spans many splits
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n", quoting=csv.QUOTE_MINIMAL).writerows(rows)
+    folder = tmp_path / "files"
+    folder.mkdir()
+    put(folder / "a.csv", out.getvalue())
+    put(folder / "b.csv", out.getvalue().rstrip("\n"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        cells = c.read_cells(spark, str(folder), 2)
+        assert sorted((r.c0, r.c1) for r in cells.collect()) == sorted(rows * 2)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_row_groups_are_bounded(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    schema, data = put(tmp_path / "s.csv", "a,int64\nflag,char\n"), put(tmp_path / "d.csv", "".join(f"{i},x\n" for i in range(100)))
+    for sizing, most in ((30, 30), (c.Sizing(rows=None, values=40), 20), (c.Sizing(rows=50, values=20), 10), (c.Sizing(rows=None, bytes=1 << 20), 100)):
+        out = tmp_path / f"o{most}"
+        c.convert(spark, schema, data, str(out), sizing)
+        groups = [pq.ParquetFile(p).metadata.row_group(g).num_rows for p in out.glob("part-*") for g in range(pq.ParquetFile(p).metadata.num_row_groups)]
+        assert sum(groups) == 100 and max(groups) <= most
+    assert c.export(spark, str(out), str(tmp_path / "back")) == "a,int64\nflag,char\n"
+    with pytest.raises(InvalidArgument):
+        c.convert(spark, schema, data, "x", c.Sizing(bytes=0))
