@@ -197,7 +197,7 @@ class _Linear:
 
     def __init__(self, scope: Scope) -> None:
         self.scope = scope
-        self.bases: dict[Expr, int] = {}
+        self.bases: dict[Expr, tuple[int, T.DataType]] = {}
         self.columns: list[Column] = []
 
     def text(self, agg: Agg) -> str | None:
@@ -205,15 +205,15 @@ class _Linear:
         arg = agg.arg
         if agg.name != "SUM" or not (isinstance(arg, Arith) and isinstance(arg.left, Ref) and isinstance(arg.right, Num) and arg.right.text.isdigit()):
             return None
-        base, kind = self.scope.value(arg.left)
-        self.scope.value(arg)  # raises what the plain sum would
         shift = int(arg.right.text) * (1 if arg.op == "+" else -1)
         if arg.left not in self.bases:
-            self.bases[arg.left] = len(self.bases)
-            n = self.bases[arg.left]
+            self.scope.value(arg)  # raises what the plain sum would
+            base, kind = self.scope.value(arg.left)
+            n = len(self.bases)
+            self.bases[arg.left] = n, kind
             plain = F.coalesce(F.sum(base.cast("bigint")), F.lit(0)) if isinstance(kind, (T.ShortType, T.IntegerType)) else fn.total(base, kind)
             self.columns += [plain.alias(f"b{n}"), F.count(base).alias(f"n{n}")]
-        n = self.bases[arg.left]
+        n, kind = self.bases[arg.left]
         if isinstance(kind, (T.ShortType, T.IntegerType)) and abs(shift) < 1 << 31:
             return f"cast(b{n} + n{n} * {shift}L as decimal(38,0))"
         return f"cast(cast(b{n} as decimal(38,0)) + cast(cast('{shift}' as decimal(38,0)) * n{n} as decimal(38,0)) as decimal(38,0))"
