@@ -382,4 +382,8 @@ def _grouped(query: Query, df: DataFrame, scope: Scope, offset: int) -> DataFram
         sorts += [c.asc() for c, _ in outputs]
         out = out.orderBy(*sorts)
     out = _cut(out, offset, query.limit)
-    return out.select(*[c.alias(i.alias or label(i.expr)) for (c, _), i in zip(outputs, query.items)])
+    names = [i.alias or label(i.expr) for i in query.items]
+    plain = {_unqualified(k): f"k{i}" for i, k in reversed(list(enumerate(keys)))} | {_unqualified(a): f"a{i}" for i, a in enumerate(aggs)}
+    if all(_unqualified(i.expr) in plain for i in query.items):  # one call, however many columns
+        return out.selectExpr(*[f"{plain[_unqualified(i.expr)]} AS {_quoted(n)}" for i, n in zip(query.items, names)])
+    return out.select(*[c.alias(n) for (c, _), n in zip(outputs, names)])
