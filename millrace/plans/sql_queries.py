@@ -21,10 +21,10 @@ from millrace.types import named
 
 @dataclass(frozen=True)
 class Case:
-    """``names`` rename the output (none: the dialect's own names stay); ``order`` are output names, ``-`` before a descending one.
+    """``names`` rename the output; ``order`` are output names, ``-`` before a descending one.
 
     ``footers`` lets file footers answer; ``text`` gives sums as text, which shows all their digits;
-    ``prepare`` derives the table asked.
+    ``columns`` lists the names that the dialect gives the output; ``prepare`` derives the table asked.
     """
 
     table: str
@@ -35,6 +35,7 @@ class Case:
     tail: str = ""
     footers: bool = False
     text: bool = False
+    columns: bool = False
     prepare: Callable[[DataFrame], DataFrame] | None = None
 
     def run(self, spark: SparkSession, d: str) -> DataFrame:
@@ -42,11 +43,12 @@ class Case:
         source = table_path(d, self.table) if self.prepare is None else self.prepare(table(spark, d, self.table))
         engine.register_table(self.table, source)
         out = engine.sql(self.dialect)
-        if self.names:
-            out = out.toDF(*self.names)
+        if self.columns:
+            return spark.createDataFrame(list(enumerate(out.columns, 1)), "i int, name string")
+        out = out.toDF(*self.names)
         # the oracle has no 38-digit sums: both sides give 64-bit integers, or text
         kinds = {f.name: "string" if self.text else "bigint" for f in out.schema.fields if isinstance(f.dataType, T.DecimalType)}
-        return out.selectExpr(*[f"cast(`{n}` as {kinds[n]}) `{n}`" if n in kinds else f"`{n}`" for n in out.columns]) if kinds else out
+        return out.selectExpr(*[f"cast({n} as {kinds[n]}) {n}" if n in kinds else n for n in out.columns]) if kinds else out
 
     def sql(self) -> str:
         if not self.tail:
@@ -139,9 +141,10 @@ CASES: dict[str, Case] = {
     "having_without_group": _hits("SELECT COUNT(*), SUM(AdvEngineID) FROM hits HAVING COUNT(*) > 10", f"SELECT count(*) AS c, {_sum('AdvEngineID')} AS s FROM hits HAVING count(*) > 10", "c s"),
     "having_rejects_all": _hits("SELECT COUNT(*) FROM hits HAVING COUNT(*) < 0", "SELECT count(*) AS c FROM hits HAVING count(*) < 0", "c"),
     "empty_result": _hits("SELECT URL, EventDate, CounterID FROM hits WHERE CounterID < 0 AND CounterID > 0", "SELECT URL AS u, EventDate AS d, CounterID AS c FROM hits WHERE false", "u d c"),
-    "default_names": _hits(
-        "SELECT COUNT(*), SUM(RegionID), AVG(ResolutionWidth), MIN(h.EventDate), COUNT(DISTINCT UserID) FROM hits AS h",
-        f"""SELECT count(*) AS "COUNT(*)", {_sum('RegionID')} AS "SUM(RegionID)", {_avg('ResolutionWidth')} AS "AVG(ResolutionWidth)", min(EventDate) AS "MIN(h.EventDate)", count(DISTINCT UserID) AS "COUNT(DISTINCT UserID)" FROM hits""", ""),
+    "default_names": Case(
+        "hits", "SELECT h.RegionID, 7, RegionID - 1, COUNT(*), sum(RegionID), AVG(ResolutionWidth) AS width, MIN(h.EventDate), COUNT(DISTINCT UserID), max(strlen(URL)) FROM hits AS h GROUP BY RegionID, 2, RegionID - 1",
+        "SELECT * FROM (VALUES (1, 'RegionID'), (2, '7'), (3, 'RegionID - 1'), (4, 'COUNT(*)'), (5, 'SUM(RegionID)'), (6, 'width'), (7, 'MIN(h.EventDate)'), (8, 'COUNT(DISTINCT UserID)'), (9, 'MAX(STRLEN(URL))')) AS t(i, name)",
+        ("i", "name"), columns=True),
     "sum_beyond_64_bits": Case("hits", "SELECT SUM(UserID), SUM(WatchID + 5) FROM hits", "SELECT CAST(sum(CAST(UserID AS HUGEINT)) AS VARCHAR) AS u, CAST(sum(CAST(WatchID AS HUGEINT) + 5) AS VARCHAR) AS w FROM hits", ("u", "w"), text=True),
     "bool_sum": Case(
         "hits", "SELECT CounterID, SUM(Refreshed), AVG(Refreshed), COUNT(*) AS c FROM hits GROUP BY CounterID ORDER BY c DESC LIMIT 10",
