@@ -13,7 +13,9 @@ decide every candidate of every text, also a full name whose first word was neve
 seen; within a text, a surname that a full or
 titled name has introduced is found again where it stands alone.
 
-The scores come from the counts of all texts; every text is then searched whole.
+Every text is read whole, and once: the table of all candidates with their patterns,
+written to the shared checkpoint folder beside the texts, gives the counts that are
+scored and, in a second step, the mentions that the scores decide.
 
 Parts are kept if they make up at least ``SHARE`` of the mentions of their
 class, so at most ``1 / SHARE`` instances and twice as many patterns a class
@@ -33,9 +35,11 @@ Defined results
 from __future__ import annotations
 
 import gc
+import marshal
 import math
 import re
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -45,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import ensure_checkpoint, spread
+from millrace.session import checkpoint_dir, ensure_checkpoint, spread
 
 TYPES = ("email", "phone", "id_number", "street_address", "person_name")
 ROUNDS = 4
@@ -132,7 +136,6 @@ _CAPITAL_WORD = re.compile(rf"[{_UP}](?:\.(?:-?[{_UP}]\.)*(?!\w)|(?:['’](?=[{_
 _LAST = rf"(?P<last>(?:{_PARTICLE}{_GAP})?(?:[dDlLO]['’])?(?P<word>{_WORD})(?!\.?\w))"
 _AFTER_GIVEN = re.compile(rf"(?:{_GAP}{_INITIAL})*{_GAP}{_LAST}")
 #: A capitalised word that a name, or more of one, may follow.
-_NAME_START = re.compile(rf"{_CAPITAL_WORD.pattern}(?=\.?\s[\s{_UP}vzdlt])")
 _NAME_PART = re.compile(rf"{_CAPITAL_WORD.pattern}(?=\.?\s[\s{_UP}vzdlt]|,)")
 _AFTER_TITLE = re.compile(rf"\.?{_GAP}(?P<name>{_LAST})")
 #: Whether a name can go on with these two characters: white space, then more of it, a capital or a particle.
@@ -199,8 +202,8 @@ _PARAGRAPH = re.compile(rf"[.)]?[ \t]+[{_UP}]")
 _STREETY = Memo(re.compile(rf"[{_UP}][a-zäöüß\u0300-\u036f-]*(?:str\.|[a-zß]{{4}})$").search)
 
 
-def streets(text: str, never: frozenset[str] = frozenset()) -> Iterator[tuple[str, int, int]]:
-    """Kind and offsets of numbers beside street-like words, but for kinds that are ``never`` one."""
+def streets(text: str) -> Iterator[tuple[str, int, int]]:
+    """Kind and offsets of numbers beside street-like words."""
     for m in _STREET_FROM.finditer(text):
         at = m.start()
         if at and not (text[at - 1] in "/.,-" or text[at - 1].isalnum()):
@@ -211,7 +214,7 @@ def streets(text: str, never: frozenset[str] = frozenset()) -> Iterator[tuple[st
         at = m.start() + 1
         low = max(0, at - 48)
         piece = text[low:at].rsplit(None, 1)[-1]
-        if piece[-4:] in never or not _STREETY[piece] or (m := _HOUSE.match(text, at)) is None:
+        if not _STREETY[piece] or (m := _HOUSE.match(text, at)) is None:
             continue
         street = _STREET_TO.search(text[low:at])
         if street and not (_BREAK.search(text, at - 2, at) and _PARAGRAPH.match(text, m.end())):
@@ -335,43 +338,84 @@ def _marked(text: str, spans: list[tuple[int, int]]) -> bytearray:
     return out
 
 
-def observe(text: str) -> Iterator[tuple[str, str, str, str]]:
-    """Class, instance and patterns of the candidates of a text."""
-    masks = has_masks(text)
-    for start, end in emails(text):
-        yield ("email", mailbox_form(text[start:end]), *context(text, start, end))
-    for start, end in candidates(text):
-        if not (masks and _masked(text, start, end)):
-            yield ("number", shape(text[start:end]), *context(text, start, end))
-    for kind, start, end in streets(text):
-        yield ("street", kind, *context(text, start, end))
+#: The rest of a name: its end, the start of its last part with particles, and the span of its last word.
+Rest = tuple[int, int, int, int]
+
+
+def _rest(text: str, at: int, pattern: re.Pattern = _AFTER_GIVEN) -> Rest | None:
+    """What of a name follows a word that ends at ``at``."""
+    m = pattern.match(text, at)
+    return None if m is None else (m.end(), m.start("last"), *m.span("word"))
+
+
+@dataclass
+class Scan:
+    """All candidates of a text with their patterns: offsets, instance, pattern before, pattern after.
+
+    Of ``words``, those that a name may follow, the patterns are those of word and
+    rest together, where the rest was looked for.
+    """
+
+    mails: list[tuple[int, int, str, str, str]]
+    numbers: list[tuple[int, int, str, str, str]]
+    streets: list[tuple[int, int, str, str, str]]
+    words: list[tuple[int, int] | tuple[int, int, Rest, str, str]]
+    counted: list[tuple[str, str, str, str]]
+
+    def packed(self) -> bytes:
+        """What deciding takes."""
+        return marshal.dumps((self.mails, self.numbers, self.streets, self.words))
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Scan:
+        return cls(*marshal.loads(data), [])
+
+
+def scan(text: str) -> Scan:
+    """Reads a text once, for counting its candidates and for deciding them."""
+    mails = [(a, b, mailbox_form(text[a:b]), *context(text, a, b)) for a, b in emails(text)]
+    numbers = [(a, b, shape(text[a:b]), *context(text, a, b)) for a, b in candidates(text)]
+    roads = [(a, b, kind, *context(text, a, b)) for kind, a, b in streets(text)]
+    counted = [("email", *x[2:]) for x in mails]
+    if has_masks(text):
+        counted += [("number", *x[2:]) for x in numbers if not _masked(text, x[0], x[1])]
+    else:
+        counted += [("number", *x[2:]) for x in numbers]
+    counted += [("street", *x[2:]) for x in roads]
+    words: list = []
     pairs, introduced, past = [], set(), 0
-    for m in _NAME_START.finditer(text):
-        start, end = m.span()
-        word = m.group()
-        if start < past or start and text[start - 1].isalnum():
+    for m in _NAME_PART.finditer(text):
+        start, end = span = m.span()
+        if start and text[start - 1].isalnum():
+            continue
+        if start < past or text[end] == ",":
+            words.append(span)
             continue
+        word = m.group()
+        rest, before, after = None, "", ""
         if word[-1:] == ".":
-            if name := _AFTER_GIVEN.match(text, end):
-                introduced.add(name["word"].lower())
-                past = name.end()
+            if rest := _rest(text, end):
+                introduced.add(text[rest[2] : rest[3]].lower())
+                past = rest[0]
         elif _TITLE[word]:
-            name = _AFTER_TITLE.match(text, end)
-            if name is None or _TITLE[name["word"]]:
-                continue
-            first, past = name["word"], name.end()
-            if more := _AFTER_GIVEN.match(text, past):
-                pairs.append((_given(first), more["word"].lower(), False, True, context(text, start, more.end())))
-                name, past = more, more.end()
-            introduced.add(name["word"].lower())
-        elif len(word) > 2 and not word.isupper() and (name := _AFTER_GIVEN.match(text, end)):
-            past = name.end()
-            inside = in_company(text, start, past)
-            pairs.append((_given(word), name["word"].lower(), inside, False, context(text, start, past)))
+            rest = _rest(text, end, _AFTER_TITLE)
+            if rest is not None and not _TITLE[text[rest[2] : rest[3]]]:
+                first, last = text[rest[2] : rest[3]], rest
+                if more := _rest(text, rest[0]):
+                    pairs.append((_given(first), text[more[2] : more[3]].lower(), False, True, context(text, start, more[0])))
+                    last = more
+                past = last[0]
+                introduced.add(text[last[2] : last[3]].lower())
+        elif len(word) > 2 and not word.isupper() and (rest := _rest(text, end)):
+            past = rest[0]
+            before, after = patterns = context(text, start, past)
+            pairs.append((_given(word), text[rest[2] : rest[3]].lower(), in_company(text, start, past), False, patterns))
+        words.append(span if rest is None else (start, end, rest, before, after))
     for given, surname, inside, skip, (before, after) in pairs:
         # the pair's last word also stands behind a title or an initial: the first one is a given name
         mark = "org" if inside else "yes" if skip or surname in introduced else "no"
-        yield ("name", f"{mark} {given}", "title" if skip else before, after)
+        counted.append(("name", f"{mark} {given}", "title" if skip else before, after))
+    return Scan(mails, numbers, roads, words, counted)
 
 
 def _logit(p: float) -> float:
@@ -393,23 +437,60 @@ class Knowledge:
         return Knowledge(*[{q: {v: _logit(x) - base for v, x in own.items()} for q, own in t.items()} for t in (self.instance, self.before, self.after)])
 
 
+_COUNTS = "cls string, i string, l string, r string, n bigint"
+_COUNTED = pa.schema([("cls", pa.string()), ("i", pa.string()), ("l", pa.string()), ("r", pa.string()), ("n", pa.int64())])
+
+
+def _texts(df: DataFrame, key: str | None, text: str) -> DataFrame:
+    return spread(df.select((F.lit(None) if key is None else F.col(key)).cast("bigint").alias("k"), F.col(text).cast("string").alias("t")))
+
+
+def _scanned(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The table of one reading of all texts: rows with a text and its scan, and rows with counts of candidates."""
+    arrow = pa.schema([("k", pa.int64()), ("t", pa.string()), ("scan", pa.binary()), *_COUNTED])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter = Counter()
+            scans: list[bytes | None] = []
+            for t in batch.column(1).to_pylist():
+                if t and not t.isspace():
+                    found = scan(t)
+                    seen.update(found.counted)
+                    scans.append(found.packed())
+                else:
+                    scans.append(None)
+            nulls = [pa.nulls(batch.num_rows, f.type) for f in _COUNTED]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), pa.array(scans, pa.binary()), *nulls], schema=arrow)
+            if seen:
+                columns = [pa.array(c, f.type) for c, f in zip([*zip(*seen), tuple(seen.values())], _COUNTED)]
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(seen), f.type) for f in list(arrow)[:3]), *columns], schema=arrow)
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/scanned-{uuid.uuid4().hex}"
+    _texts(df, key, text).mapInArrow(run, f"k bigint, t string, scan binary, {_COUNTS}").write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
 def learn(df: DataFrame, text: str, rounds: int = ROUNDS, share: float = SHARE) -> Knowledge:
     """Scores, from the counts of all texts."""
-    arrow = pa.schema([("cls", pa.string()), ("i", pa.string()), ("l", pa.string()), ("r", pa.string()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
-            for t in batch.column(0).to_pylist():
+            for t in batch.column(1).to_pylist():
                 if t:
-                    seen.update(observe(t))
+                    seen.update(scan(t).counted)
             if seen:
-                columns = [*zip(*seen), tuple(seen.values())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*zip(*seen), tuple(seen.values())], _COUNTED)], schema=_COUNTED)
 
-    spark = df.sparkSession
+    return _learned(_texts(df, None, text).filter(F.col("t") != "").mapInArrow(count, _COUNTS), rounds, share)
+
+
+def _learned(counted: DataFrame, rounds: int = ROUNDS, share: float = SHARE) -> Knowledge:
+    """Scores, from counts of instances and patterns."""
+    spark = counted.sparkSession
     ensure_checkpoint(spark)
-    counted = spread(df.select(F.col(text).cast("string").alias("t")).filter(F.col("t") != "")).mapInArrow(count, "cls string, i string, l string, r string, n bigint")
     combos = counted.groupBy("cls", "i", "l", "r").agg(F.sum("n").alias("n")).checkpoint()
     totals = combos.groupBy("cls").agg(F.sum("n").alias("total"))
     each = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(p).alias("v")) for p in "ilr"])).alias("x")
@@ -462,12 +543,13 @@ class Extractor:
         self.base = _logit(PRIOR)
         own = [self.known.instance[q] for q in QUESTIONS["number"]]
         self.alone = {form: max(x.get(form, -9.0) for x in own) for form in set().union(*own)}
-        self.never = frozenset(k for k, v in self.known.instance["street_address"].items() if v <= -2)
         self.lookup: dict[str, bool] = {}
         self.given = {fold(i) for i, s in knowledge.instance["person_name"].items() if s >= ACCEPT and not _TITLE[i] and not _IS_PARTICLE.fullmatch(i.lower()) and len(i) > 2}
         self.first: dict[str, float] = {}
         for i, x in self.known.instance["person_name"].items():
             self.first[fold(i)] = max(x, self.first.get(fold(i), x))
+        #: The same of a word as it is spelt.
+        self.spelt = Memo(lambda word: self.first.get(fold(_given(word)), 0.0), 1 << 16)
 
     def odds(self, question: str, instance: str, before: str, after: str) -> float:
         """Log-odds that a mention is of the type."""
@@ -476,12 +558,18 @@ class Extractor:
 
     def find(self, text: str | None) -> list[tuple[str, int, int]]:
         """``(type, start, end)``, in order, without overlaps."""
-        if not text or text.isspace():
-            return []
-        spans = [("email", a, b) for a, b in emails(text) if self.odds("email", mailbox_form(text[a:b]), *context(text, a, b)) >= 0]
-        spans += self._numbers(text)
-        spans += self._streets(text)
-        spans += self._names(text, [(a, b) for _, a, b in spans])
+        return [] if not text or text.isspace() else self.decide(text, scan(text))
+
+    def decide(self, text: str, found: Scan) -> list[tuple[str, int, int]]:
+        """The same, of a text that was scanned."""
+        masks = has_masks(text)
+        spans = [("email", a, b) for a, b, form, before, after in found.mails if self.odds("email", form, before, after) >= 0]
+        spans += self._numbers(text, found.numbers, masks)
+        kinds, odds = self.known.instance["street_address"], self.odds
+        for start, end, kind, before, after in found.streets:
+            if kinds.get(kind, 0.0) > -2 and odds("street_address", kind, before, after) >= 0 and not (masks and _masked(text, start, end)):
+                spans.append(("street_address", start, end))
+        spans += self._names(text, found.words, [(a, b) for _, a, b in spans], masks)
         spans.sort(key=lambda s: (s[1], -s[2]))
         out: list[tuple[str, int, int]] = []
         for s in spans:
@@ -489,11 +577,10 @@ class Extractor:
                 out.append(s)
         return out
 
-    def _numbers(self, text: str) -> Iterator[tuple[str, int, int]]:
+    def _numbers(self, text: str, numbers: list[tuple[int, int, str, str, str]], masks: bool) -> Iterator[tuple[str, int, int]]:
         known = self.known
-        masks = has_masks(text)
-        for low, high in candidates(text):
-            if self.alone.get(shape(text[low:high]), 0.0) <= -2.5:
+        for low, high, whole, *patterns in numbers:
+            if self.alone.get(whole, 0.0) <= -2.5:
                 continue  # a shape that is certainly neither needs no context and has no parts
             groups = [(low + g.start(), low + g.end()) for g in _GROUPS.finditer(text[low:high])]
             n, done = len(groups), False
@@ -514,7 +601,7 @@ class Extractor:
                     # a part must be known by its shape
                     if size < n and alone + self.base < 0 or masks and _masked(text, start, end):
                         continue
-                    before, after = context(text, start, end)
+                    before, after = patterns if (start, end) == (low, high) else context(text, start, end)
                     best, question = max((self.odds(q, form, before, after), q) for q in QUESTIONS["number"])
                     if size < n and known.instance[question].get(form, 0.0) + self.base < 0:
                         continue
@@ -527,14 +614,6 @@ class Extractor:
                 if done:
                     break
 
-    def _streets(self, text: str) -> Iterator[tuple[str, int, int]]:
-        masks = has_masks(text)
-        for kind, start, end in streets(text, self.never):
-            if self.known.instance["street_address"].get(kind, 0.0) <= -2 or masks and _masked(text, start, end):
-                continue
-            if self.odds("street_address", kind, *context(text, start, end)) >= 0:
-                yield "street_address", start, end
-
     def _role(self, word: str) -> int:
         """1: given name, 2: title, 3: initials, 0: any other word."""
         role = self.lookup.get(word)
@@ -546,86 +625,96 @@ class Extractor:
             role = self.lookup[word] = 2 if _TITLE[bare] else 3 if word[-1:] == "." else 1 if given else 0
         return role
 
-    def _name_odds(self, text: str, word: str, start: int, end: int) -> float:
+    def _name_odds(self, word: str, before: str, after: str) -> float:
         """Log-odds of a full name, its first word in any spelling that scanners confuse."""
-        before, after = context(text, start, end)
-        return self.odds("person_name", "", before, after) + self.first.get(fold(_given(word)), 0.0)
+        return self.odds("person_name", "", before, after) + self.spelt[word]
 
-    def _untitled(self, text: str, word: str, start: int, after: int) -> tuple[re.Match, bool] | None:
+    def _untitled(self, text: str, start: int, after: int, rest: Rest, before: str, behind: str) -> tuple[Rest, bool] | None:
         """The rest of a pair whose first word is no known given name, and whether its parts and context make it a name."""
-        if len(word) < 3 or word.isupper() or (name := _AFTER_GIVEN.match(text, after)) is None:
-            return None
+        word = text[start:after]
         if SEEDS["street_address"].get(word.lower()) == 0:
-            return name, False  # a month or a part of a paper
-        longer = _AFTER_GIVEN.match(text, name.end())
-        role = self._role(name["word"])
-        if role == 2 or role == 1 and longer:
+            return rest, False  # a month or a part of a paper
+        role = self._role(text[rest[2] : rest[3]])
+        if role == 2 or role == 1 and _AFTER_GIVEN.match(text, rest[0]):
             return None  # a full name begins behind this word
-        if (best := self._name_odds(text, word, start, name.end())) >= 0 and longer and len(longer["word"]) > 2 and not self._role(longer["word"]) and not _BREAK.search(longer.group()):
-            more = self._name_odds(text, word, start, longer.end())
-            if more > best:
-                best, name = more, longer
-        if best >= 0 and _BREAK.search(name.group()):  # across a line's end both sides must speak for a name
-            before, after = context(text, start, name.end())
-            best = min(self.known.before["person_name"].get(before, 0.0), self.known.after["person_name"].get(after, 0.0)) or -1.0
-        return name, best >= 0 and len(name["word"]) > 2
-
-    def _names(self, text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-        blocked = _marked(text, taken)
+        best, since = self._name_odds(word, before, behind), after
+        if best >= 0 and (longer := _rest(text, rest[0])):
+            last = text[longer[2] : longer[3]]
+            if len(last) > 2 and not self._role(last) and not _BREAK.search(text, rest[0], longer[0]):
+                more = self._name_odds(word, *context(text, start, longer[0]))
+                if more > best:
+                    best, since, rest = more, rest[0], longer
+        if best >= 0 and _BREAK.search(text, since, rest[0]):
+            # across a line's end both sides must speak for a name
+            before, behind = context(text, start, rest[0])
+            best = min(self.known.before["person_name"].get(before, 0.0), self.known.after["person_name"].get(behind, 0.0)) or -1.0
+        return rest, best >= 0 and rest[3] - rest[2] > 2
+
+    def _names(self, text: str, words: list, taken: list[tuple[int, int]], masks: bool) -> list[tuple[str, int, int]]:
         found: list[tuple[int, int]] = []
         surnames: set[str] = set()
-        masks = has_masks(text)
         french = "M." in text and _FRENCH.search(text) is not None
         past, tried, titled = 0, 0, -1
 
         def add(start: int, end: int, *parts: str) -> None:
-            if blocked.find(1, start, end) < 0 and not (masks and _MASK.search(text, max(0, start - 1), end + 1)) and not in_company(text, start, end):
+            if not any(a < end and start < b for a, b in taken) and not (masks and _MASK.search(text, max(0, start - 1), end + 1)) and not in_company(text, start, end):
                 found.append((start, end))
                 surnames.update(_SPACE.sub("", p).lower() for p in parts)
 
         roles = self.lookup
-        for m in _NAME_PART.finditer(text):
-            word = m.group()
+        for entry in words:
+            start, after = entry[0], entry[1]
+            if start < past:
+                continue
+            word = text[start:after]
             role = roles.get(word)
             if role is None:
                 role = self._role(word)
-            start, after = m.span()
-            if start < past or start and (text[start - 1].isalnum() or text[start - 1] in "-‐"):
+            if start and text[start - 1] in "-‐":
                 continue
             if not role and text[after] != ",":
                 # the same pairs as are counted: one that is no name takes its words, too
-                if start >= tried and (pair := self._untitled(text, word, start, after)):
-                    name, tried = pair[0], pair[0].end()
-                    if pair[1]:
-                        add(start, tried, text[name.start("last") : tried], name["word"])
-                        past = tried
+                if start >= tried and len(word) > 2 and not word.isupper():
+                    rest, before, behind = entry[2:] if len(entry) > 2 else (None, "", "")
+                    if rest is None and (rest := _rest(text, after)):
+                        before, behind = context(text, start, rest[0])
+                    if rest is not None and (pair := self._untitled(text, start, after, rest, before, behind)):
+                        rest, tried = pair[0], pair[0][0]
+                        if pair[1]:
+                            add(start, tried, text[rest[1] : tried], text[rest[2] : rest[3]])
+                            past = tried
                 continue
-            name = None
+            rest, name_start = None, start
             if role == 3 and french and word == "M.":
                 role = 2
             if role == 2:
-                name = _AFTER_TITLE.match(text, after)
-                if name and self._role(name["word"]) or name and text[name.end() : name.end() + 1] == "," and self._reversed(text, name["word"], name.end()):
-                    titled = name.start("name")
-                    continue  # the next words are a full name
+                rest = _rest(text, after, _AFTER_TITLE)
+                if rest:
+                    name_start, last = rest[1], text[rest[2] : rest[3]]
+                    if self._role(last) or text[rest[0] : rest[0] + 1] == "," and self._reversed(text, last, rest[0]):
+                        titled = name_start
+                        continue  # the next words are a full name
             elif role == 3 and word.count(".") > 1 and "-" not in word:
                 continue  # bare initials stand for a withheld name
             elif role:
-                name = _AFTER_GIVEN.match(text, after)
-                if name and role == 1 and self._role(name["word"]) == 1 and (longer := _AFTER_GIVEN.match(text, name.end())) and not _BREAK.search(longer.group()):
-                    name = longer
-                if name and role == 1 and start != titled and self._name_odds(text, word, start, name.end()) < 0:
-                    continue
+                rest = entry[2] if len(entry) > 2 else _rest(text, after)
+                if rest and role == 1:
+                    if self._role(text[rest[2] : rest[3]]) == 1 and (longer := _rest(text, rest[0])) and not _BREAK.search(text, rest[0], longer[0]):
+                        rest = longer
+                    if start != titled:
+                        patterns = entry[3:] if len(entry) > 2 and rest is entry[2] else context(text, start, rest[0])
+                        if self._name_odds(word, *patterns) < 0:
+                            continue
             elif end := self._reversed(text, word, after):
                 lead = _LEADING_CAPS.search(text[max(0, start - 12) : start]) if word.isupper() else None
                 first = start - len(lead.group()) if lead else start
                 add(first, end, text[first:after], word)
                 past = end
                 continue
-            if name is None or self._role(name["word"]) == 2 or len(name["word"]) < 3:
+            if rest is None or rest[3] - rest[2] < 3 or self._role(text[rest[2] : rest[3]]) == 2:
                 continue
-            add(start if role != 2 else name.start("name"), name.end(), text[name.start("last") : name.end()], name["word"])
-            past = name.end()
+            add(name_start, rest[0], text[rest[1] : rest[0]], text[rest[2] : rest[3]])
+            past = rest[0]
         if surnames:
             done = _marked(text, found)
             for start, end in self._again(text, surnames):
@@ -670,17 +759,24 @@ class Extractor:
 
 
 def _extract(df: DataFrame, key: str, text: str, knowledge: Knowledge | None, emit, schema: str, arrow: pa.Schema) -> DataFrame:
-    knowledge = knowledge or learn(df, text)
+    if knowledge is None:
+        table = _scanned(df, key, text)
+        knowledge = _learned(table.filter("cls IS NOT NULL").select("cls", "i", "l", "r", "n"))
+        rows = table.filter("cls IS NULL").select("k", "t", "scan")
+    else:
+        rows = _texts(df, key, text).withColumn("scan", F.lit(None).cast("binary"))
     shared = df.sparkSession.sparkContext.broadcast(knowledge)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extractor = Extractor(shared.value)
         gc.freeze()  # the scores stay: no collection need look at them
         for batch in batches:
-            out = [row for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for row in emit(k, t, extractor.find(t))]
+            out = []
+            for k, t, found in zip(*[c.to_pylist() for c in batch.columns]):
+                out += emit(k, t, extractor.find(t) if found is None else extractor.decide(t, Scan.unpacked(found)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(arrow), arrow)], schema=arrow)
 
-    return spread(df.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t"))).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def find_personal_info(df: DataFrame, key: str, text: str, knowledge: Knowledge | None = None) -> DataFrame:
