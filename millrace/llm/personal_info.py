@@ -82,6 +82,9 @@ SEEDS: dict[str, dict[str, float]] = {
         "uary arch pril june july gust mber ober nuar ruar märz juni juli band teil satz blatt nummer act norh civ eite page").split()}},
     "person_name": {},
 }
+#: Seeds that are never of a type.
+_NEVER_NUMBER = frozenset(i for i, s in SEEDS["phone"].items() if s == 0 and SEEDS["id_number"].get(i) == 0)
+_NEVER_STREET = frozenset(i for i, s in SEEDS["street_address"].items() if s == 0)
 #: Titles that introduce a natural person, and words that end an organisation's name.
 TITLES = frozenset("Mr Mrs Ms Miss Dr Sir Lord Lady Justice Judge Master Prof Professor Herr Frau Herrn Mme Mlle Me Maître Monsieur Madame Richter Richterin Vorsitzende Vorsitzender Zeuge Zeugin Président Greffier Rapporteur".split())
 COMPANY = r"(?:Ltd|Limited|plc|PLC|LLP|Inc|Corp|GmbH|AG|KG|SARL|SAS|SA|SE|OHG|mbH|Ltd\.)"
@@ -159,7 +162,7 @@ NUMBER = re.compile(rf"[+(]{{0,2}}{_LABEL}(?:[A-Z]{{1,5}}(?:[ \xa0-]|\r?\n)?(?=[
 _CLUSTER = re.compile(r"\d(?:\D{0,3}\d){4,}")
 _GROUPS = re.compile(r"[+(]*[\dA-Z]+\)?")
 EXTENSION = re.compile(r"(?:[ \xa0,]|\r?\n)*(?:x|ext\.?|extension|Durchwahl|DW|poste|App\.)[ \xa0]?\d{1,6}\b")
-_AT = re.compile(r"@|[\[({<]\s*at\s*[\])}>]", re.I)
+_AT = re.compile(r"[@\[({<](?:(?<=@)|\s*[aA][tT]\s*[\])}>])")
 _LOCAL = re.compile(r"(?<![\w.+*•█-])\w[\w.+-]*+\s*$")
 _DOMAIN = re.compile(r"\s*[\w-]+(?:(?:\.|\s*[\[({<]\s*(?:dot|punkt|point)\s*[\])}>]\s*)[\w-]+)+(?<!-)", re.I)
 
@@ -282,12 +285,13 @@ def context(text: str, start: int, end: int) -> tuple[str, str]:
 
     At most two pieces between white space count on either side, within 36 and 32 characters.
     """
-    left = text[start - 36 if start > 36 else 0 : start].rsplit(None, 2)
+    left = text[start - 36 if start > 36 else 0 : start].rsplit(None, 1)
     right = text[end : end + 32].split(None, 2)
     before = after = ""
     if left:
         before = _BEFORE_ONE[left[-1]]
         if before is None:
+            left[:-1] = left[0].rsplit(None, 1)[-1:] if len(left) > 1 else []
             # a piece of marks alone, as of a page number, is passed over
             before = _BEFORE_TWO[" ".join(left[-2:] if len(left[-1]) > 1 or left[-1].isalnum() else text[max(0, start - 36) : start].split())]
     if right:
@@ -297,24 +301,26 @@ def context(text: str, start: int, end: int) -> tuple[str, str]:
     return before, after
 
 
-def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Numbers of five digits or more; an opening bracket belongs to one only if it closes inside."""
+def candidates(text: str) -> Iterator[tuple[int, int, str]]:
+    """Numbers of five digits or more and their shapes; an opening bracket belongs to one only if it closes inside."""
     past = 0
     for cluster in _CLUSTER.finditer(text):
         low, high = cluster.span()
         if high <= past:
             continue
-        # letters, signs and brackets may stand before the first digit
-        for first in _START.finditer(text, max(past, low - 10), high):
-            start = first.start()
-            if start < past or start and (text[start - 1].isalnum() or text[start - 1] in "_@•*█."):
+        # letters, signs and brackets may stand before the first digit, but not before a plain word and a space
+        at = low if low - 1 > past and text[low - 1] == " " and text[low - 2].islower() else max(past, low - 10)
+        while at < high and (first := _START.search(text, at, high)):
+            start = at = first.start()
+            if start and (text[start - 1].isalnum() or text[start - 1] in "_@•*█.") or (m := NUMBER.match(text, start)) is None:
+                at = first.end()
                 continue
-            if (m := NUMBER.match(text, start)) is None:
-                continue
-            past = end = m.end()
-            if end - start >= 5 and len(_DIGIT.findall(text, start, end)) >= 5:
-                value = m.group()
-                yield start + (value[:1] == "(" and value.count("(") > value.count(")")), end
+            past = at = end = m.end()
+            if end - start >= 5:
+                form = shape(m.group())
+                if form.count("#") >= 5:
+                    cut = form[0] == "(" and form.count("(") > form.count(")")
+                    yield start + cut, end, form[cut:]
 
 
 def has_masks(text: str) -> bool:
@@ -364,7 +370,8 @@ class Scan:
 
     def packed(self) -> bytes:
         """What deciding takes."""
-        return marshal.dumps((self.mails, self.numbers, self.streets, self.words))
+        numbers = [x for x in self.numbers if x[2] not in _NEVER_NUMBER]
+        return marshal.dumps((self.mails, numbers, [x for x in self.streets if x[2] not in _NEVER_STREET], self.words))
 
     @classmethod
     def unpacked(cls, data: bytes) -> Scan:
@@ -374,7 +381,7 @@ class Scan:
 def scan(text: str) -> Scan:
     """Reads a text once, for counting its candidates and for deciding them."""
     mails = [(a, b, mailbox_form(text[a:b]), *context(text, a, b)) for a, b in emails(text)]
-    numbers = [(a, b, shape(text[a:b]), *context(text, a, b)) for a, b in candidates(text)]
+    numbers = [(a, b, form, *context(text, a, b)) for a, b, form in candidates(text)]
     roads = [(a, b, kind, *context(text, a, b)) for kind, a, b in streets(text)]
     counted = [("email", *x[2:]) for x in mails]
     if has_masks(text):
@@ -398,11 +405,10 @@ def scan(text: str) -> Scan:
                 introduced.add(text[rest[2] : rest[3]].lower())
                 past = rest[0]
         elif _TITLE[word]:
-            rest = _rest(text, end, _AFTER_TITLE)
-            if rest is not None and not _TITLE[text[rest[2] : rest[3]]]:
-                first, last = text[rest[2] : rest[3]], rest
-                if more := _rest(text, rest[0]):
-                    pairs.append((_given(first), text[more[2] : more[3]].lower(), False, True, context(text, start, more[0])))
+            last = _rest(text, end, _AFTER_TITLE)
+            if last is not None and not _TITLE[text[last[2] : last[3]]]:
+                if more := _rest(text, last[0]):
+                    pairs.append((_given(text[last[2] : last[3]]), text[more[2] : more[3]].lower(), False, True, context(text, start, more[0])))
                     last = more
                 past = last[0]
                 introduced.add(text[last[2] : last[3]].lower())
@@ -450,6 +456,7 @@ def _scanned(df: DataFrame, key: str, text: str) -> DataFrame:
     arrow = pa.schema([("k", pa.int64()), ("t", pa.string()), ("scan", pa.binary()), *_COUNTED])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here is cyclic
         for batch in batches:
             seen: Counter = Counter()
             scans: list[bytes | None] = []
@@ -769,7 +776,7 @@ def _extract(df: DataFrame, key: str, text: str, knowledge: Knowledge | None, em
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extractor = Extractor(shared.value)
-        gc.freeze()  # the scores stay: no collection need look at them
+        gc.disable()  # nothing here is cyclic
         for batch in batches:
             out = []
             for k, t, found in zip(*[c.to_pylist() for c in batch.columns]):
