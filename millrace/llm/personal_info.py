@@ -128,6 +128,7 @@ _INITIAL = rf"[{_UP}]\.(?:-?[{_UP}]\.)*"
 _PARTICLE = r"(?:(?:von|Von|VON)(?:[ ](?:der|dem|den|DER|DEM|DEN))?|zu|Zu|ZU|van(?:[ ](?:der|den))?|(?:de|De|DE)(?:[ ](?:la|La|LA))?|du|Du|DU|le|Le|LE|la|La|LA|der|ten|Mac|O['’])"
 _SURNAME = rf"(?:{_PARTICLE}{_GAP})?(?:[dDlL]['’])?{_WORD}"
 _COMPANY_END = re.compile(rf"\s{COMPANY}(?!\w)")
+_COMPANY_LIKE = Memo(re.compile(COMPANY).match)
 _TO_COMPANY = re.compile(rf"(?:{_GAP}[{_UP}](?:{_W}|['’&-])*){{0,2}}?{_GAP}{COMPANY}(?!\w)")
 _IS_PARTICLE = re.compile(r"von|Von|VON|zu|Zu|ZU|van|de|De|DE|du|Du|DU|le|Le|LE|la|La|LA|der|dem|den|DER|DEM|DEN|ten|Mac|[dDlLO]['’]")
 _IS_INITIAL = re.compile(_INITIAL)
@@ -147,9 +148,9 @@ _GOES_ON = Memo(re.compile(rf"\s[\s{_UP}vzdlt]").match)
 
 def in_company(text: str, start: int, end: int) -> bool:
     """Whether the span is among the last three capitalised words of a company's name."""
-    if _COMPANY_END.search(text, max(0, start - 1), end):
+    if _GOES_ON[text[end : end + 2]] is not None and _TO_COMPANY.match(text, end) is not None:
         return True
-    return _GOES_ON[text[end : end + 2]] is not None and _TO_COMPANY.match(text, end) is not None
+    return any([_COMPANY_LIKE[w] for w in text[start:end].split()]) and _COMPANY_END.search(text, max(0, start - 1), end) is not None
 
 
 _SEP = r"(?:[ \xa0\u2009\u202f]|\r?\n|[-./‐‑–]|\)(?:[ \xa0]|\r?\n)?|(?:[ \xa0]|\r?\n)?\((?=\d))"
@@ -202,7 +203,7 @@ _PARAGRAPH = re.compile(rf"[.)]?[ \t]+[{_UP}]")
 
 
 #: Whether the piece of text before a house number can be a street of the kind that ends in its last four letters.
-_STREETY = Memo(re.compile(rf"[{_UP}][a-zäöüß\u0300-\u036f-]*(?:str\.|[a-zß]{{4}})$").search)
+_STREETY = Memo(re.compile(rf"[{_UP}][a-zäöüß\u0300-\u036f-]*(?:str\.|[a-zß]{{4}})\s*$").search)
 
 
 def streets(text: str) -> Iterator[tuple[str, int, int]]:
@@ -216,8 +217,7 @@ def streets(text: str) -> Iterator[tuple[str, int, int]]:
     for m in _BEHIND_WORD.finditer(text):
         at = m.start() + 1
         low = max(0, at - 48)
-        piece = text[low:at].rsplit(None, 1)[-1]
-        if not _STREETY[piece] or (m := _HOUSE.match(text, at)) is None:
+        if not _STREETY[text[text.rfind(" ", low, at - 1) + 1 or low : at - 1]] or (m := _HOUSE.match(text, at)) is None:
             continue
         street = _STREET_TO.search(text[low:at])
         if street and not (_BREAK.search(text, at - 2, at) and _PARAGRAPH.match(text, m.end())):
@@ -283,21 +283,22 @@ _AFTER_ONE, _AFTER_TWO = Memo(_two_tokens), Memo(lambda pieces: _pattern(_CONTEX
 def context(text: str, start: int, end: int) -> tuple[str, str]:
     """The last word before with its punctuation (two words if it is short), and two tokens after; digits as #, lower case.
 
-    At most two pieces between white space count on either side, within 36 and 32 characters.
+    At most two pieces between spaces count on either side, within 36 and 32 characters.
     """
-    left = text[start - 36 if start > 36 else 0 : start].rsplit(None, 1)
-    right = text[end : end + 32].split(None, 2)
-    before = after = ""
-    if left:
-        before = _BEFORE_ONE[left[-1]]
-        if before is None:
-            left[:-1] = left[0].rsplit(None, 1)[-1:] if len(left) > 1 else []
-            # a piece of marks alone, as of a page number, is passed over
-            before = _BEFORE_TWO[" ".join(left[-2:] if len(left[-1]) > 1 or left[-1].isalnum() else text[max(0, start - 36) : start].split())]
-    if right:
-        after = _AFTER_ONE[right[0]]
-        if after is None:
-            after = _AFTER_TWO[" ".join(right[:2])]
+    low, high = max(0, start - 36), end + 32
+    at = text.rfind(" ", low, max(0, start - 1)) + 1 or low
+    before = _BEFORE_ONE[text[at:start]]
+    if before is None:
+        if start - at < 3 and not text[at:start].strip().isalnum():
+            at = low  # a piece of marks alone, as of a page number, is passed over
+        before = _BEFORE_TWO[text[text.rfind(" ", low, max(0, at - 1)) + 1 or low : start]]
+    at = text.find(" ", end + 1, high)
+    if at < 0:
+        return before, _AFTER_TWO[text[end:high]]
+    after = _AFTER_ONE[text[end:at]]
+    if after is None:
+        at = text.find(" ", at + 1, high)
+        after = _AFTER_TWO[text[end : at if at >= 0 else high]]
     return before, after
 
 
@@ -332,8 +333,8 @@ def _masked(text: str, start: int, end: int) -> bool:
     return bool(_MASK.search(text[max(0, start - 3) : end + 3]))
 
 
-def _given(token: str) -> str:
-    return unicodedata.normalize("NFC", token.split("-")[0]).capitalize()
+#: The given name of a name's first word.
+_GIVEN = Memo(lambda token: unicodedata.normalize("NFC", token.split("-")[0]).capitalize())
 
 
 def _marked(text: str, spans: list[tuple[int, int]]) -> bytearray:
@@ -408,14 +409,14 @@ def scan(text: str) -> Scan:
             last = _rest(text, end, _AFTER_TITLE)
             if last is not None and not _TITLE[text[last[2] : last[3]]]:
                 if more := _rest(text, last[0]):
-                    pairs.append((_given(text[last[2] : last[3]]), text[more[2] : more[3]].lower(), False, True, context(text, start, more[0])))
+                    pairs.append((_GIVEN[text[last[2] : last[3]]], text[more[2] : more[3]].lower(), False, True, context(text, start, more[0])))
                     last = more
                 past = last[0]
                 introduced.add(text[last[2] : last[3]].lower())
         elif len(word) > 2 and not word.isupper() and (rest := _rest(text, end)):
             past = rest[0]
             before, after = patterns = context(text, start, past)
-            pairs.append((_given(word), text[rest[2] : rest[3]].lower(), in_company(text, start, past), False, patterns))
+            pairs.append((_GIVEN[word], text[rest[2] : rest[3]].lower(), in_company(text, start, past), False, patterns))
         words.append(span if rest is None else (start, end, rest, before, after))
     for given, surname, inside, skip, (before, after) in pairs:
         # the pair's last word also stands behind a title or an initial: the first one is a given name
@@ -550,13 +551,13 @@ class Extractor:
         self.base = _logit(PRIOR)
         own = [self.known.instance[q] for q in QUESTIONS["number"]]
         self.alone = {form: max(x.get(form, -9.0) for x in own) for form in set().union(*own)}
-        self.lookup: dict[str, bool] = {}
+        self.role = Memo(self._role_of, 1 << 16)
         self.given = {fold(i) for i, s in knowledge.instance["person_name"].items() if s >= ACCEPT and not _TITLE[i] and not _IS_PARTICLE.fullmatch(i.lower()) and len(i) > 2}
         self.first: dict[str, float] = {}
         for i, x in self.known.instance["person_name"].items():
             self.first[fold(i)] = max(x, self.first.get(fold(i), x))
         #: The same of a word as it is spelt.
-        self.spelt = Memo(lambda word: self.first.get(fold(_given(word)), 0.0), 1 << 16)
+        self.spelt = Memo(lambda word: self.first.get(fold(_GIVEN[word]), 0.0), 1 << 16)
 
     def odds(self, question: str, instance: str, before: str, after: str) -> float:
         """Log-odds that a mention is of the type."""
@@ -621,33 +622,28 @@ class Extractor:
                 if done:
                     break
 
-    def _role(self, word: str) -> int:
+    def _role_of(self, word: str) -> int:
         """1: given name, 2: title, 3: initials, 0: any other word."""
-        role = self.lookup.get(word)
-        if role is None:
-            if len(self.lookup) > 1 << 16:
-                self.lookup.clear()
-            bare = word.rstrip(".")
-            given = len(bare) > 2 and not bare.isupper() and fold(_given(bare)) in self.given
-            role = self.lookup[word] = 2 if _TITLE[bare] else 3 if word[-1:] == "." else 1 if given else 0
-        return role
+        bare = word.rstrip(".")
+        given = len(bare) > 2 and not bare.isupper() and fold(_GIVEN[bare]) in self.given
+        return 2 if _TITLE[bare] else 3 if word[-1:] == "." else 1 if given else 0
 
     def _name_odds(self, word: str, before: str, after: str) -> float:
         """Log-odds of a full name, its first word in any spelling that scanners confuse."""
-        return self.odds("person_name", "", before, after) + self.spelt[word]
+        return self.base + self.known.before["person_name"].get(before, 0.0) + self.known.after["person_name"].get(after, 0.0) + self.spelt[word]
 
     def _untitled(self, text: str, start: int, after: int, rest: Rest, before: str, behind: str) -> tuple[Rest, bool] | None:
         """The rest of a pair whose first word is no known given name, and whether its parts and context make it a name."""
         word = text[start:after]
         if SEEDS["street_address"].get(word.lower()) == 0:
             return rest, False  # a month or a part of a paper
-        role = self._role(text[rest[2] : rest[3]])
+        role = self.role[text[rest[2] : rest[3]]]
         if role == 2 or role == 1 and _AFTER_GIVEN.match(text, rest[0]):
             return None  # a full name begins behind this word
         best, since = self._name_odds(word, before, behind), after
         if best >= 0 and (longer := _rest(text, rest[0])):
             last = text[longer[2] : longer[3]]
-            if len(last) > 2 and not self._role(last) and not _BREAK.search(text, rest[0], longer[0]):
+            if len(last) > 2 and not self.role[last] and not _BREAK.search(text, rest[0], longer[0]):
                 more = self._name_odds(word, *context(text, start, longer[0]))
                 if more > best:
                     best, since, rest = more, rest[0], longer
@@ -658,25 +654,25 @@ class Extractor:
         return rest, best >= 0 and rest[3] - rest[2] > 2
 
     def _names(self, text: str, words: list, taken: list[tuple[int, int]], masks: bool) -> list[tuple[str, int, int]]:
+        blocked = _marked(text, taken)
         found: list[tuple[int, int]] = []
         surnames: set[str] = set()
         french = "M." in text and _FRENCH.search(text) is not None
         past, tried, titled = 0, 0, -1
 
         def add(start: int, end: int, *parts: str) -> None:
-            if not any(a < end and start < b for a, b in taken) and not (masks and _MASK.search(text, max(0, start - 1), end + 1)) and not in_company(text, start, end):
+            if blocked.find(1, start, end) < 0 and not (masks and _MASK.search(text, max(0, start - 1), end + 1)) and not in_company(text, start, end):
                 found.append((start, end))
-                surnames.update(_SPACE.sub("", p).lower() for p in parts)
+                for part in parts:
+                    surnames.add("".join(part.split()).lower())
 
-        roles = self.lookup
+        roles = self.role
         for entry in words:
             start, after = entry[0], entry[1]
             if start < past:
                 continue
             word = text[start:after]
-            role = roles.get(word)
-            if role is None:
-                role = self._role(word)
+            role = roles[word]
             if start and text[start - 1] in "-‐":
                 continue
             if not role and text[after] != ",":
@@ -698,7 +694,7 @@ class Extractor:
                 rest = _rest(text, after, _AFTER_TITLE)
                 if rest:
                     name_start, last = rest[1], text[rest[2] : rest[3]]
-                    if self._role(last) or text[rest[0] : rest[0] + 1] == "," and self._reversed(text, last, rest[0]):
+                    if self.role[last] or text[rest[0] : rest[0] + 1] == "," and self._reversed(text, last, rest[0]):
                         titled = name_start
                         continue  # the next words are a full name
             elif role == 3 and word.count(".") > 1 and "-" not in word:
@@ -706,7 +702,7 @@ class Extractor:
             elif role:
                 rest = entry[2] if len(entry) > 2 else _rest(text, after)
                 if rest and role == 1:
-                    if self._role(text[rest[2] : rest[3]]) == 1 and (longer := _rest(text, rest[0])) and not _BREAK.search(text, rest[0], longer[0]):
+                    if self.role[text[rest[2] : rest[3]]] == 1 and (longer := _rest(text, rest[0])) and not _BREAK.search(text, rest[0], longer[0]):
                         rest = longer
                     if start != titled:
                         patterns = entry[3:] if len(entry) > 2 and rest is entry[2] else context(text, start, rest[0])
@@ -718,14 +714,14 @@ class Extractor:
                 add(first, end, text[first:after], word)
                 past = end
                 continue
-            if rest is None or rest[3] - rest[2] < 3 or self._role(text[rest[2] : rest[3]]) == 2:
+            if rest is None or rest[3] - rest[2] < 3 or self.role[text[rest[2] : rest[3]]] == 2:
                 continue
             add(name_start, rest[0], text[rest[1] : rest[0]], text[rest[2] : rest[3]])
             past = rest[0]
         if surnames:
             done = _marked(text, found)
             for start, end in self._again(text, surnames):
-                if done.find(1, start, end) < 0 and self._role(text[start:end]) in (0, 3):
+                if done.find(1, start, end) < 0 and self.role[text[start:end]] in (0, 3):
                     m = _LEADING.search(text[max(0, start - 12) : start])
                     if m and _SPACE.sub("", m.group() + text[start:end]).lower() in surnames:
                         start -= len(m.group())
@@ -760,7 +756,7 @@ class Extractor:
     def _reversed(self, text: str, word: str, end: int) -> int:
         """End of ``, Given`` after a surname, 0 if there is none."""
         m = _COMMA_GIVEN.match(text, end)
-        if m is None or self._role(m.group(1)) != 1:
+        if m is None or self.role[m.group(1)] != 1:
             return 0
         return m.end() if word.isupper() or _MORE_NAME.match(text, m.end()) is None else 0
 
