@@ -119,10 +119,10 @@ _TITLE = Memo(lambda token: fold(token.rstrip(".")) in _TITLES)
 
 
 _UP = "A-ZÀ-ÖØ-ÞŁŚŻŽŠİ"
-_GAP = r"(?:[ \t\xa0\u2009\u202f]+(?:\r\n|\r|\n)?[ \t\xa0]*|(?:\r\n|\r|\n)[ \t\xa0]*)"
+_GAP = r"(?:[ \t\xa0\u2009\u202f]++(?:\r\n|\r|\n)?+[ \t\xa0]*+|(?:\r\n|\r|\n)[ \t\xa0]*+)"
 #: A letter or digit, or a combining mark of a decomposed one.
 _W = "[\\w\u0300-\u036f]"
-_WS, _WP = (rf"\w{n}(?:[\u0300-\u036f]+\w*)*" for n in "*+")
+_WS, _WP = (rf"\w{n}+(?:[\u0300-\u036f]++\w*+)*+" for n in "*+")
 _WORD = rf"[{_UP}]{_WS}(?:['’](?!s\b){_WP})?(?:[-‐](?:(?:\r\n|\r|\n)[ \t]*)?{_WP})*"
 _INITIAL = rf"[{_UP}]\.(?:-?[{_UP}]\.)*"
 _PARTICLE = r"(?:(?:von|Von|VON)(?:[ ](?:der|dem|den|DER|DEM|DEN))?|zu|Zu|ZU|van(?:[ ](?:der|den))?|(?:de|De|DE)(?:[ ](?:la|La|LA))?|du|Du|DU|le|Le|LE|la|La|LA|der|ten|Mac|O['’])"
@@ -158,9 +158,9 @@ _SEP = r"(?:[ \xa0\u2009\u202f]|\r?\n|[-./‐‑–]|\)(?:[ \xa0]|\r?\n)?|(?:[ \
 _LABEL = "(?!(?:NIR|SSN|ID|NINO|CNI|EUR|USD|GBP|RG|NHC|NHCA|NHGZ|OLG|BGH|ZR)\\b)"
 #: The start of a number, if five digits follow with no more than three other characters between two.
 _START = re.compile(r"[+(\dA-Z][\dA-Z(]*+(?:(?<=\d)|(?<=\d[A-Z])|(?=\D{0,7}\d))")
-NUMBER = re.compile(rf"[+(]{{0,2}}{_LABEL}(?:[A-Z]{{1,5}}(?:[ \xa0-]|\r?\n)?(?=[\dA-Z]*\d))?\d[\dA-Z]*(?:{_SEP}(?:[\dA-Z]*\d[\dA-Z]*|[A-Z](?![\w]))\b){{0,10}}")
+NUMBER = re.compile(rf"[+(]{{0,2}}{_LABEL}(?:[A-Z]{{1,5}}(?:[ \xa0-]|\r?\n)?(?=[\dA-Z]*\d))?\d[\dA-Z]*+(?:{_SEP}(?:[A-Z]*+\d[\dA-Z]*+|[A-Z](?![\w]))\b){{0,10}}")
 #: Five digits or more, no more than three other characters between two.
-_CLUSTER = re.compile(r"\d(?:\D{0,3}\d){4,}")
+_CLUSTER = re.compile(r"\d(?<!\d\d)(?:\D{0,3}+\d){4,}+")
 _GROUPS = re.compile(r"[+(]*[\dA-Z]+\)?")
 EXTENSION = re.compile(r"(?:[ \xa0,]|\r?\n)*(?:x|ext\.?|extension|Durchwahl|DW|poste|App\.)[ \xa0]?\d{1,6}\b")
 _AT = re.compile(r"[@\[({<](?:(?<=@)|\s*[aA][tT]\s*[\])}>])")
@@ -191,8 +191,8 @@ def mailbox_form(value: str) -> str:
 
 _STREET_FROM = re.compile(
     rf"\d(?<!\d\d)\d{{0,3}}+(?=[a-zA-Z,\s])[a-zA-Z]?(?:{_GAP}(?:bis|ter|quater))?,?{_GAP}(?![a-z]{{1,10}}[ ](?!d))"
-    rf"(?:(?P<en>(?:[{_UP}][\w'’]*{_GAP}){{1,3}}?(?P<kind>[{_UP}][a-z]+)\b(?P<dot>\.(?=[\s,;]))?(?!{_GAP}(?:Hill|Mill|Lane|Road|Rd|Street|St|Close|Court|Terrace|Way|Ave)\b)(?:,{_GAP}(?:Flat|Unit|Apt\.?|Apartment|Suite){_GAP}\w{{1,4}}\b)?)"
-    rf"|(?P<fr>[a-zéè]{{2,10}}\.?){_GAP}(?:de{_GAP}la{_GAP}|de{_GAP}l['’]|des{_GAP}|du{_GAP}|de{_GAP}|d['’])[{_UP}](?:{_W}|['’-])*(?:{_GAP}[{_UP}](?:{_W}|['’-])*)?)"
+    rf"(?:(?P<en>(?:[{_UP}][\w'’]*+{_GAP}){{1,3}}?(?P<kind>[{_UP}][a-z]++)\b(?P<dot>\.(?=[\s,;]))?(?!{_GAP}(?:Hill|Mill|Lane|Road|Rd|Street|St|Close|Court|Terrace|Way|Ave)\b)(?:,{_GAP}(?:Flat|Unit|Apt\.?|Apartment|Suite){_GAP}\w{{1,4}}\b)?)"
+    rf"|(?P<fr>[a-zéè]{{2,10}}+\.?){_GAP}(?:de{_GAP}la{_GAP}|de{_GAP}l['’]|des{_GAP}|du{_GAP}|de{_GAP}|d['’])[{_UP}](?:{_W}|['’-])*(?:{_GAP}[{_UP}](?:{_W}|['’-])*)?)"
 )
 _FLAT = re.compile(rf"(?:Flat|Unit|Apt\.?|Apartment|Suite|Appt\.?|Bât\.?){_GAP}\w{{1,4}},?{_GAP}$")
 #: A number of up to four digits behind a word that ends in a small letter or a point.
@@ -352,7 +352,10 @@ Rest = tuple[int, int, int, int]
 def _rest(text: str, at: int, pattern: re.Pattern = _AFTER_GIVEN) -> Rest | None:
     """What of a name follows a word that ends at ``at``."""
     m = pattern.match(text, at)
-    return None if m is None else (m.end(), m.start("last"), *m.span("word"))
+    if m is None:
+        return None
+    spans = m.regs  # the last two groups are the last part and its word
+    return (spans[0][1], spans[-2][0], *spans[-1])
 
 
 @dataclass
