@@ -516,7 +516,6 @@ def _learned(counted: DataFrame, rounds: int = ROUNDS, share: float = SHARE) ->
     for p in "ilr":
         graph = graph.join(part(kept, p, "cls", p, "has"), ["cls", p], "left").withColumn(p, F.when(F.col("has"), F.col(p))).drop("has")
     question = F.explode(F.create_map(*[x for c, q in QUESTIONS.items() for x in (F.lit(c), F.array(*map(F.lit, q)))])[F.col("cls")])
-    graph = graph.groupBy("cls", "i", "l", "r").agg(F.sum("n").alias("n")).select("*", question.alias("q")).drop("cls")
     seeds = spark.createDataFrame([(q, i, float(s)) for q, own in SEEDS.items() for i, s in own.items()], "q string, i string, seed double")
     # given names are seeded by how often their mention's last word is introduced as a surname in the same text
     bare = F.regexp_replace("i", "^(?:yes|no|org) ", "")
@@ -524,8 +523,8 @@ def _learned(counted: DataFrame, rounds: int = ROUNDS, share: float = SHARE) ->
     lexical = combos.filter("cls = 'name'").groupBy(bare.alias("i")).agg(share_yes.alias("yes"), F.sum("n").alias("n")).filter((F.col("yes") >= GIVEN_YES) | (F.col("yes") <= GIVEN_NO))
     names = combos.filter("cls = 'name'").agg(F.sum("n")).scalar()
     seeds = seeds.unionByName(lexical.filter(F.col("n") >= names * share).select(F.lit("person_name").alias("q"), "i", (F.col("yes") >= GIVEN_YES).cast("double").alias("seed")))
-    named = F.when(F.col("q") == "person_name", bare).otherwise(F.col("i"))
-    graph = graph.withColumn("i", named).groupBy("q", "i", "l", "r").agg(F.sum("n").alias("n"))
+    named = F.when(F.col("cls") == "name", bare).otherwise(F.col("i"))
+    graph = graph.withColumn("i", named).groupBy("cls", "i", "l", "r").agg(F.sum("n").alias("n")).select("*", question.alias("q")).drop("cls")
     graph = graph.join(F.broadcast(seeds), ["q", "i"], "left").checkpoint()
     scored = None
     for _ in range(rounds):
