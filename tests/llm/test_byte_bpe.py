@@ -54,3 +54,12 @@ def test_roundtrip(spark):
     assert ids.schema.simpleString() == "struct<doc_id:bigint,ids:array<int>>"
     assert sorted((r.doc_id, r.text) for r in op.decode_ids(ids, "doc_id", "ids").collect()) == sorted((i, t or "") for i, t, _ in rows)
     assert op.encode_texts(spark.createDataFrame([], "doc_id bigint, text string"), "doc_id", "text").count() == 0
+
+
+def test_another_vocabulary_of_the_same_pattern():
+    tiktoken = pytest.importorskip("tiktoken")
+    public = pytest.importorskip("public_tokenizers")
+    other = op.Encoder(op.read_ranks(f"{op.TOKENIZERS}/byte_bpe_multi_50k.tiktoken"))
+    one = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=other.ranks, special_tokens={})
+    ts = texts()
+    assert split(other, ts) == [one.encode_ordinary(t or "") for t in ts]
