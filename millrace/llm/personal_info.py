@@ -45,6 +45,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -128,7 +129,6 @@ _INITIAL = rf"[{_UP}]\.(?:-?[{_UP}]\.)*"
 _PARTICLE = r"(?:(?:von|Von|VON)(?:[ ](?:der|dem|den|DER|DEM|DEN))?|zu|Zu|ZU|van(?:[ ](?:der|den))?|(?:de|De|DE)(?:[ ](?:la|La|LA))?|du|Du|DU|le|Le|LE|la|La|LA|der|ten|Mac|O['’])"
 _SURNAME = rf"(?:{_PARTICLE}{_GAP})?(?:[dDlL]['’])?{_WORD}"
 _COMPANY_END = re.compile(rf"\s{COMPANY}(?!\w)")
-_COMPANY_LIKE = Memo(re.compile(COMPANY).match)
 _TO_COMPANY = re.compile(rf"(?:{_GAP}[{_UP}](?:{_W}|['’&-])*){{0,2}}?{_GAP}{COMPANY}(?!\w)")
 _IS_PARTICLE = re.compile(r"von|Von|VON|zu|Zu|ZU|van|de|De|DE|du|Du|DU|le|Le|LE|la|La|LA|der|dem|den|DER|DEM|DEN|ten|Mac|[dDlLO]['’]")
 _IS_INITIAL = re.compile(_INITIAL)
@@ -139,8 +139,10 @@ _LEADING_CAPS = re.compile(rf"\b(?:VON|VON[ ]DE[RMN]|ZU|DE|DE[ ]LA|DU|LE|LA){_GA
 _CAPITAL_WORD = re.compile(rf"[{_UP}](?:\.(?:-?[{_UP}]\.)*(?!\w)|(?:['’](?=[{_UP}]))?{_WS}(?:['’](?!s\b){_WP})?(?:[-‐](?:(?:\r\n|\r|\n)[ \t]*)?{_WP})*)")
 _LAST = rf"(?P<last>(?:{_PARTICLE}{_GAP})?(?:[dDlLO]['’])?(?P<word>{_WORD})(?!\.?\w))"
 _AFTER_GIVEN = re.compile(rf"(?:{_GAP}{_INITIAL})*{_GAP}{_LAST}")
+#: Where more of a name can begin: white space, a capital, or a small particle and what must follow it.
+_ON = rf"(?:[\s{_UP}]|[dl]['’]|(?:von|van|zu|de|du|le|la|der|ten)\s)"
 #: A capitalised word that a name, or more of one, may follow.
-_NAME_PART = re.compile(rf"{_CAPITAL_WORD.pattern}(?=\.?\s[\s{_UP}vzdlt]|,)")
+_NAME_PART = re.compile(rf"{_CAPITAL_WORD.pattern}(?=\.?\s{_ON}|,)")
 _AFTER_TITLE = re.compile(rf"\.?{_GAP}(?P<name>{_LAST})")
 #: Whether a name can go on with these two characters: white space, then more of it, a capital or a particle.
 _GOES_ON = Memo(re.compile(rf"\s[\s{_UP}vzdlt]").match)
@@ -150,7 +152,7 @@ def in_company(text: str, start: int, end: int) -> bool:
     """Whether the span is among the last three capitalised words of a company's name."""
     if _GOES_ON[text[end : end + 2]] is not None and _TO_COMPANY.match(text, end) is not None:
         return True
-    return any([_COMPANY_LIKE[w] for w in text[start:end].split()]) and _COMPANY_END.search(text, max(0, start - 1), end) is not None
+    return _COMPANY_END.search(text, start - 1 if start else 0, end) is not None
 
 
 _SEP = r"(?:[ \xa0\u2009\u202f]|\r?\n|[-./‐‑–]|\)(?:[ \xa0]|\r?\n)?|(?:[ \xa0]|\r?\n)?\((?=\d))"
@@ -159,8 +161,6 @@ _LABEL = "(?!(?:NIR|SSN|ID|NINO|CNI|EUR|USD|GBP|RG|NHC|NHCA|NHGZ|OLG|BGH|ZR)\\b)
 #: The start of a number, if five digits follow with no more than three other characters between two.
 _START = re.compile(r"[+(\dA-Z][\dA-Z(]*+(?:(?<=\d)|(?<=\d[A-Z])|(?=\D{0,7}\d))")
 NUMBER = re.compile(rf"[+(]{{0,2}}{_LABEL}(?:[A-Z]{{1,5}}(?:[ \xa0-]|\r?\n)?(?=[\dA-Z]*\d))?\d[\dA-Z]*+(?:{_SEP}(?:[A-Z]*+\d[\dA-Z]*+|[A-Z](?![\w]))\b){{0,10}}")
-#: Five digits or more, no more than three other characters between two.
-_CLUSTER = re.compile(r"\d(?<!\d\d)(?:\D{0,3}+\d){4,}+")
 _GROUPS = re.compile(r"[+(]*[\dA-Z]+\)?")
 EXTENSION = re.compile(r"(?:[ \xa0,]|\r?\n)*(?:x|ext\.?|extension|Durchwahl|DW|poste|App\.)[ \xa0]?\d{1,6}\b")
 _AT = re.compile(r"[@\[({<](?:(?<=@)|\s*[aA][tT]\s*[\])}>])")
@@ -168,13 +168,19 @@ _LOCAL = re.compile(r"(?<![\w.+*•█-])\w[\w.+-]*+\s*$")
 _DOMAIN = re.compile(r"\s*[\w-]+(?:(?:\.|\s*[\[({<]\s*(?:dot|punkt|point)\s*[\])}>]\s*)[\w-]+)+(?<!-)", re.I)
 
 
-def emails(text: str) -> Iterator[tuple[int, int]]:
-    """Mailboxes, from their at sign, also spelt out in brackets."""
-    for m in _AT.finditer(text):
+def emails(text: str, signs: list[int]) -> Iterator[tuple[int, int]]:
+    """Mailboxes, from their at sign, also spelt out in brackets, at one of ``signs``."""
+    for at in signs:
+        if (m := _AT.match(text, at)) is None:
+            continue
         low = max(0, m.start() - 90)
         plain = m.group() == "@"
-        local, domain = _LOCAL.search(text[low : m.start()]), _DOMAIN.match(text, m.end())
-        if local and domain and not (plain and local.group()[-1:].isspace() != domain.group()[:1].isspace()):
+        domain = _DOMAIN.match(text, m.end())
+        if domain is None or not (words := text[low : m.start()].rsplit(None, 1)):
+            continue
+        low = text.rindex(words[-1], low, m.start())  # nothing before the last word belongs to it
+        local = _LOCAL.search(text[low : m.start()])
+        if local and not (plain and local.group()[-1:].isspace() != domain.group()[:1].isspace()):
             yield low + local.start(), domain.end()
 
 
@@ -195,8 +201,6 @@ _STREET_FROM = re.compile(
     rf"|(?P<fr>[a-zéè]{{2,10}}+\.?){_GAP}(?:de{_GAP}la{_GAP}|de{_GAP}l['’]|des{_GAP}|du{_GAP}|de{_GAP}|d['’])[{_UP}](?:{_W}|['’-])*(?:{_GAP}[{_UP}](?:{_W}|['’-])*)?)"
 )
 _FLAT = re.compile(rf"(?:Flat|Unit|Apt\.?|Apartment|Suite|Appt\.?|Bât\.?){_GAP}\w{{1,4}},?{_GAP}$")
-#: A number of up to four digits behind a word that ends in a small letter or a point.
-_BEHIND_WORD = re.compile(r"[ \n\xa0](?=\d)(?<=[a-zß.\r][ \n\xa0])\d{1,4}+(?!\d)")
 _HOUSE = re.compile(r"\d{1,4}(?:[ ]?[a-z](?!\w))?(?:/\d{1,4})?(?![\w./-]*\d)")
 _STREET_TO = re.compile(rf"(?:(?:Alte[rns]?|Neue[rns]?|Am|An|Große[rs]?|Kleine[rs]?|Obere[rs]?|Untere[rs]?){_GAP}(?:der{_GAP}|den{_GAP})?)?[{_UP}][a-zäöüß\u0300-\u036f-]*(?P<de>str\.|[a-zß]{{4}}){_GAP}$")
 _PARAGRAPH = re.compile(rf"[.)]?[ \t]+[{_UP}]")
@@ -206,16 +210,18 @@ _PARAGRAPH = re.compile(rf"[.)]?[ \t]+[{_UP}]")
 _STREETY = Memo(re.compile(rf"[{_UP}][a-zäöüß\u0300-\u036f-]*(?:str\.|[a-zß]{{4}})\s*$").search)
 
 
-def streets(text: str) -> Iterator[tuple[str, int, int]]:
-    """Kind and offsets of numbers beside street-like words."""
-    for m in _STREET_FROM.finditer(text):
-        at = m.start()
+def streets(text: str, fronts: list[int], behind: list[int]) -> Iterator[tuple[str, int, int]]:
+    """Kind and offsets of numbers beside street-like words, in front of one or behind it."""
+    past = 0
+    for at in fronts:
+        if at < past or (m := _STREET_FROM.match(text, at)) is None:
+            continue
+        past = m.end()
         if at and not (text[at - 1] in "/.,-" or text[at - 1].isalnum()):
             flat = _FLAT.search(text[max(0, at - 20) : at])
             kind = m["kind"] + (m["dot"] or "") if m["en"] else m["fr"]
             yield kind.lower(), at - (len(flat.group()) if flat else 0), m.end()
-    for m in _BEHIND_WORD.finditer(text):
-        at = m.start() + 1
+    for at in behind:
         low = max(0, at - 48)
         if not _STREETY[text[text.rfind(" ", low, at - 1) + 1 or low : at - 1]] or (m := _HOUSE.match(text, at)) is None:
             continue
@@ -247,7 +253,8 @@ _THIN = frozenset(("number", "nummer", "numéro"))
 
 
 def _pattern(tokens: list[str]) -> str:
-    return _DIGITS.sub("#", " ".join(tokens))
+    out = " ".join(tokens)
+    return out if out.replace(" ", "").isalpha() else _DIGITS.sub("#", out)
 
 
 def _enough(piece: str) -> str | None:
@@ -285,13 +292,13 @@ def context(text: str, start: int, end: int) -> tuple[str, str]:
 
     At most two pieces between spaces count on either side, within 36 and 32 characters.
     """
-    low, high = max(0, start - 36), end + 32
-    at = text.rfind(" ", low, max(0, start - 1)) + 1 or low
+    low, high = start - 36 if start > 36 else 0, end + 32
+    at = text.rfind(" ", low, start - 1 if start else 0) + 1 or low
     before = _BEFORE_ONE[text[at:start]]
     if before is None:
         if start - at < 3 and not text[at:start].strip().isalnum():
             at = low  # a piece of marks alone, as of a page number, is passed over
-        before = _BEFORE_TWO[text[text.rfind(" ", low, max(0, at - 1)) + 1 or low : start]]
+        before = _BEFORE_TWO[text[text.rfind(" ", low, at - 1 if at else 0) + 1 or low : start]]
     at = text.find(" ", end + 1, high)
     if at < 0:
         return before, _AFTER_TWO[text[end:high]]
@@ -302,11 +309,10 @@ def context(text: str, start: int, end: int) -> tuple[str, str]:
     return before, after
 
 
-def candidates(text: str) -> Iterator[tuple[int, int, str]]:
+def candidates(text: str, clusters: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
     """Numbers of five digits or more and their shapes; an opening bracket belongs to one only if it closes inside."""
     past = 0
-    for cluster in _CLUSTER.finditer(text):
-        low, high = cluster.span()
+    for low, high in clusters:
         if high <= past:
             continue
         # letters, signs and brackets may stand before the first digit, but not before a plain word and a space
@@ -337,6 +343,10 @@ def _masked(text: str, start: int, end: int) -> bool:
 _GIVEN = Memo(lambda token: unicodedata.normalize("NFC", token.split("-")[0]).capitalize())
 
 
+#: A surname without spaces, in small letters.
+_SURNAME_KEY = Memo(lambda part: "".join(part.split()).lower())
+
+
 def _marked(text: str, spans: list[tuple[int, int]]) -> bytearray:
     """Ones where a span covers the text."""
     out = bytearray(len(text))
@@ -382,11 +392,127 @@ class Scan:
         return cls(*marshal.loads(data), [])
 
 
+_BIT_PATTERNS = (r"\d+", r"\w+", r"\s+", f"[{_UP}]+", "[a-zß]+", "[A-Za-z]+", "[.'’‐\u0300-\u036f-]", "[vzdlt]", r"[@\[({<]", "_")
+_DIGIT_BIT, _WORD_BIT, _SPACE_BIT, _UP_BIT, _SMALL_BIT, _LETTER_BIT, _JOIN_BIT, _LEAD_BIT, _SIGN_BIT, _UNDER_BIT = (np.uint16(1 << i) for i in range(10))
+#: Characters between two texts that are read together, more than any look to a side takes.
+_APART = 8
+#: Characters that are read together.
+_TOGETHER = 1 << 17
+
+
+@lru_cache(maxsize=1)
+def _bits() -> np.ndarray:
+    """For each character, a bit for each of the patterns that take it."""
+    every = np.arange(0x110000, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    out = np.zeros(len(every), np.uint16)
+    for i, pattern in enumerate(_BIT_PATTERNS):
+        for m in re.finditer(pattern, every):
+            out[m.start() : m.end()] |= 1 << i
+    return out
+
+
+@dataclass
+class Spots:
+    """Where candidates of a text can begin."""
+
+    #: at signs and brackets that may hold one
+    signs: list[int]
+    #: spans of five digits or more, no more than three other characters between two
+    clusters: list[tuple[int, int]]
+    #: numbers of up to four digits before a word, and those behind one that may end a street's name
+    fronts: list[int]
+    behind: list[int]
+    #: words for ``_NAME_PART``, and where they end, -1 if only the pattern tells
+    words: list[tuple[int, int]]
+
+
+def spots(texts: list[str]) -> list[Spots]:
+    """The spots of each text, found in all texts at once."""
+    apart = "\0" * _APART
+    cp = np.frombuffer(f"{apart}{apart.join(texts)}{apart}".encode("utf-32-le", "surrogatepass"), "<u4")
+    f = _bits().take(cp)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + _APART
+    starts = np.cumsum(lengths) - lengths + _APART
+
+    def own(at: np.ndarray, *more: np.ndarray) -> list[list]:
+        """Of offsets, and of values beside them, those of each text."""
+        cuts = np.searchsorted(at, starts).tolist() + [len(at)]
+        shift = np.repeat(starts, np.diff(cuts))
+        values = (at - shift).tolist() if not more else [*zip((at - shift).tolist(), *[np.where(x < 0, x, x - shift).tolist() for x in more])]
+        return [values[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    stops = np.flatnonzero(f & _WORD_BIT == 0)
+    # signs
+    at = stops[f[stops] & _SIGN_BIT != 0]
+    then = cp[at + 1]
+    signs = at[(cp[at] == 64) | (then == 97) | (then == 65) | (f[at + 1] & _SPACE_BIT > 0)]
+    # numbers
+    digits = np.flatnonzero(f & _DIGIT_BIT != 0)
+    step = np.diff(digits, prepend=-9)
+    cut = np.flatnonzero(step > 4)
+    ends = np.append(cut[1:], len(digits)) if len(cut) else cut
+    long = ends - cut >= 5
+    low, high = digits[cut[long]], digits[ends[long] - 1] + 1
+    cut = np.flatnonzero(step > 1)
+    ends = np.append(cut[1:], len(digits)) if len(cut) else cut
+    few = ends - cut <= 4
+    first, end = digits[cut[few]], digits[ends[few] - 1] + 1
+    one, two = f[end], f[end + 1]
+    stop = stops.take(np.searchsorted(stops, end + 1), mode="clip")
+    then, third = cp[stop], f[np.minimum(stop + 1, len(f) - 1)]
+    on = (then != 32) | (third & _SPACE_BIT > 0)  # else a capitalised word or a small one behind the first space decides
+    capital = (two & _UP_BIT > 0) & (on | (third & _UP_BIT > 0))
+    small = (two & (_UP_BIT | _DIGIT_BIT) == 0) & (two & _WORD_BIT > 0)
+    small &= on | (third & _LEAD_BIT > 0) | (cp[end + 1] == 98) | (cp[end + 1] == 116) | (cp[end + 1] == 113)
+    spaced = (one & _SPACE_BIT > 0) & ((two & _SPACE_BIT > 0) | capital | small)
+    tight = ((one & _LETTER_BIT > 0) | (cp[end] == 44)) & ((two & _SPACE_BIT > 0) | (cp[end + 1] == 44))
+    gap, last = cp[first - 1], cp[first - 2]
+    small = f[first - 2] & f[first - 3] & f[first - 4] & f[first - 5] & _SMALL_BIT > 0
+    short = (last == 46) & (cp[first - 3] == 114) & (cp[first - 4] == 116) & (cp[first - 5] == 115)
+    behind = first[((gap == 32) | (gap == 10) | (gap == 160)) & (small | short | (last == 13))]
+    # capitals
+    caps = np.flatnonzero(f & _UP_BIT != 0)
+    begin = stops[np.searchsorted(stops, behind - 2) - 1] + 1
+    named = np.searchsorted(caps, begin) < np.searchsorted(caps, behind)
+    behind = behind[named | (f[begin - 1] & _JOIN_BIT > 0) | (f[behind - 2] & _WORD_BIT == 0)]
+    i = np.searchsorted(stops, caps)
+    stop, begin = stops[i], stops[i - 1] + 1
+    dot, alone = cp[stop] == 46, stop == caps + 1
+    after = stop + dot  # a point may stand before the space, and belongs to a single capital
+    join = (f[stop] & _JOIN_BIT > 0) & (~dot | alone & (f[after] & _SPACE_BIT == 0))
+    goes = f[after] & _SPACE_BIT > 0
+    lead = goes & (f[after + 1] & _LEAD_BIT > 0)
+    keep = join | lead | (cp[stop] == 44) | goes & (f[after + 1] & (_SPACE_BIT | _UP_BIT) > 0)
+    # inside a word that begins with a capital, nothing begins that the word's own start does not take or refuse alike
+    inner = (f[caps - 1] & _WORD_BIT > 0) & (cp[caps - 1] != 95)
+    alike = inner & ~((join | dot) & (alone | (f[begin] & _UP_BIT == 0)))
+    under = np.flatnonzero(f & _UNDER_BIT != 0)
+    if len(under):
+        alike &= np.searchsorted(under, begin) == np.searchsorted(under, stop)
+    keep &= ~alike
+    return [*map(Spots, own(signs), own(low, high), own(first[spaced | tight]), own(behind), own(caps[keep], np.where(join | lead, -1, stop + (dot & alone))[keep]))]
+
+
 def scan(text: str) -> Scan:
     """Reads a text once, for counting its candidates and for deciding them."""
-    mails = [(a, b, mailbox_form(text[a:b]), *context(text, a, b)) for a, b in emails(text)]
-    numbers = [(a, b, form, *context(text, a, b)) for a, b, form in candidates(text)]
-    roads = [(a, b, kind, *context(text, a, b)) for kind, a, b in streets(text)]
+    return _scan(text, spots([text])[0])
+
+
+def scans(texts: list[str]) -> Iterator[Scan]:
+    """The same of many texts."""
+    at = 0
+    while at < len(texts):
+        first, size = at, 0
+        while at < len(texts) and size < _TOGETHER:
+            size += len(texts[at])
+            at += 1
+        yield from map(_scan, texts[first:at], spots(texts[first:at]))
+
+
+def _scan(text: str, spots: Spots) -> Scan:
+    mails = [(a, b, mailbox_form(text[a:b]), *context(text, a, b)) for a, b in emails(text, spots.signs)]
+    numbers = [(a, b, form, *context(text, a, b)) for a, b, form in candidates(text, spots.clusters)]
+    roads = [(a, b, kind, *context(text, a, b)) for kind, a, b in streets(text, spots.fronts, spots.behind)]
     counted = [("email", *x[2:]) for x in mails]
     if has_masks(text):
         counted += [("number", *x[2:]) for x in numbers if not _masked(text, x[0], x[1])]
@@ -394,17 +520,25 @@ def scan(text: str) -> Scan:
         counted += [("number", *x[2:]) for x in numbers]
     counted += [("street", *x[2:]) for x in roads]
     words: list = []
-    pairs, introduced, past = [], set(), 0
-    for m in _NAME_PART.finditer(text):
-        start, end = span = m.span()
+    pairs, introduced, past, taken = [], set(), 0, 0
+    for span in spots.words:
+        start, end = span
+        if start < taken:
+            continue
+        if end < 0:
+            m = _NAME_PART.match(text, start)
+            if m is None:
+                continue
+            start, end = span = m.span()
+        taken = end
         if start and text[start - 1].isalnum():
             continue
         if start < past or text[end] == ",":
             words.append(span)
             continue
-        word = m.group()
+        word = text[start:end]
         rest, before, after = None, "", ""
-        if word[-1:] == ".":
+        if word[-1] == ".":
             if rest := _rest(text, end):
                 introduced.add(text[rest[2] : rest[3]].lower())
                 past = rest[0]
@@ -416,10 +550,15 @@ def scan(text: str) -> Scan:
                     last = more
                 past = last[0]
                 introduced.add(text[last[2] : last[3]].lower())
-        elif len(word) > 2 and not word.isupper() and (rest := _rest(text, end)):
-            past = rest[0]
+        elif end - start > 2 and not word.isupper() and (m := _AFTER_GIVEN.match(text, end)):
+            spans = m.regs  # as in _rest
+            past = spans[0][1]
+            low, high = spans[-1]
+            rest = (past, spans[-2][0], low, high)
             before, after = patterns = context(text, start, past)
-            pairs.append((_GIVEN[word], text[rest[2] : rest[3]].lower(), in_company(text, start, past), False, patterns))
+            pairs.append((_GIVEN[word], text[low:high].lower(), in_company(text, start, past), False, patterns))
+        else:
+            continue  # no part of a name that is decided
         words.append(span if rest is None else (start, end, rest, before, after))
     for given, surname, inside, skip, (before, after) in pairs:
         # the pair's last word also stands behind a title or an initial: the first one is a given name
@@ -463,16 +602,14 @@ def _scanned(df: DataFrame, key: str, text: str) -> DataFrame:
         gc.disable()  # nothing here is cyclic
         for batch in batches:
             seen: Counter = Counter()
-            scans: list[bytes | None] = []
-            for t in batch.column(1).to_pylist():
-                if t and not t.isspace():
-                    found = scan(t)
-                    seen.update(found.counted)
-                    scans.append(found.packed())
-                else:
-                    scans.append(None)
+            texts = batch.column(1).to_pylist()
+            own: list[bytes | None] = [None] * len(texts)
+            held = [i for i, t in enumerate(texts) if t and not t.isspace()]
+            for i, found in zip(held, scans([texts[i] for i in held])):
+                seen.update(found.counted)
+                own[i] = found.packed()
             nulls = [pa.nulls(batch.num_rows, f.type) for f in _COUNTED]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), pa.array(scans, pa.binary()), *nulls], schema=arrow)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), pa.array(own, pa.binary()), *nulls], schema=arrow)
             if seen:
                 columns = [pa.array(c, f.type) for c, f in zip([*zip(*seen), tuple(seen.values())], _COUNTED)]
                 yield pa.RecordBatch.from_arrays([*(pa.nulls(len(seen), f.type) for f in list(arrow)[:3]), *columns], schema=arrow)
@@ -489,9 +626,8 @@ def learn(df: DataFrame, text: str, rounds: int = ROUNDS, share: float = SHARE)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
-            for t in batch.column(1).to_pylist():
-                if t:
-                    seen.update(scan(t).counted)
+            for found in scans([t for t in batch.column(1).to_pylist() if t]):
+                seen.update(found.counted)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*zip(*seen), tuple(seen.values())], _COUNTED)], schema=_COUNTED)
 
@@ -551,6 +687,8 @@ class Extractor:
     def __init__(self, knowledge: Knowledge) -> None:
         self.known = knowledge.evidence()
         self.base = _logit(PRIOR)
+        self.parts = {q: (self.known.instance[q], self.known.before[q], self.known.after[q]) for q in self.known.instance}
+        _, self.name_before, self.name_after = self.parts["person_name"]
         own = [self.known.instance[q] for q in QUESTIONS["number"]]
         self.alone = {form: max(x.get(form, -9.0) for x in own) for form in set().union(*own)}
         self.role = Memo(self._role_of, 1 << 16)
@@ -563,8 +701,8 @@ class Extractor:
 
     def odds(self, question: str, instance: str, before: str, after: str) -> float:
         """Log-odds that a mention is of the type."""
-        k = self.known
-        return self.base + k.instance[question].get(instance, 0.0) + k.before[question].get(before, 0.0) + k.after[question].get(after, 0.0)
+        i, l, r = self.parts[question]
+        return self.base + i.get(instance, 0.0) + l.get(before, 0.0) + r.get(after, 0.0)
 
     def find(self, text: str | None) -> list[tuple[str, int, int]]:
         """``(type, start, end)``, in order, without overlaps."""
@@ -592,6 +730,13 @@ class Extractor:
         for low, high, whole, *patterns in numbers:
             if self.alone.get(whole, 0.0) <= -2.5:
                 continue  # a shape that is certainly neither needs no context and has no parts
+            if whole.count("(") == whole.count(")") and not (masks and _masked(text, low, high)):
+                best, question = max([(self.odds(q, whole, *patterns), q) for q in QUESTIONS["number"]])
+                if best >= 0:
+                    if question == "phone" and (x := EXTENSION.match(text, high)):
+                        high = x.end()
+                    yield question, low, high
+                    continue
             groups = [(low + g.start(), low + g.end()) for g in _GROUPS.finditer(text[low:high])]
             n, done = len(groups), False
             for size in range(n, 0, -1):
@@ -632,7 +777,7 @@ class Extractor:
 
     def _name_odds(self, word: str, before: str, after: str) -> float:
         """Log-odds of a full name, its first word in any spelling that scanners confuse."""
-        return self.base + self.known.before["person_name"].get(before, 0.0) + self.known.after["person_name"].get(after, 0.0) + self.spelt[word]
+        return self.base + self.name_before.get(before, 0.0) + self.name_after.get(after, 0.0) + self.spelt[word]
 
     def _untitled(self, text: str, start: int, after: int, rest: Rest, before: str, behind: str) -> tuple[Rest, bool] | None:
         """The rest of a pair whose first word is no known given name, and whether its parts and context make it a name."""
@@ -659,20 +804,21 @@ class Extractor:
         blocked = _marked(text, taken)
         found: list[tuple[int, int]] = []
         surnames: set[str] = set()
-        french = "M." in text and _FRENCH.search(text) is not None
+        french = None
         past, tried, titled = 0, 0, -1
 
         def add(start: int, end: int, *parts: str) -> None:
             if blocked.find(1, start, end) < 0 and not (masks and _MASK.search(text, max(0, start - 1), end + 1)) and not in_company(text, start, end):
                 found.append((start, end))
                 for part in parts:
-                    surnames.add("".join(part.split()).lower())
+                    surnames.add(_SURNAME_KEY[part])
 
         roles = self.role
         for entry in words:
-            start, after = entry[0], entry[1]
+            start = entry[0]
             if start < past:
                 continue
+            after = entry[1]
             word = text[start:after]
             role = roles[word]
             if start and text[start - 1] in "-‐":
@@ -690,8 +836,11 @@ class Extractor:
                             past = tried
                 continue
             rest, name_start = None, start
-            if role == 3 and french and word == "M.":
-                role = 2
+            if role == 3 and word == "M.":
+                if french is None:
+                    french = _FRENCH.search(text) is not None
+                if french:
+                    role = 2
             if role == 2:
                 rest = _rest(text, after, _AFTER_TITLE)
                 if rest:
@@ -722,8 +871,8 @@ class Extractor:
             past = rest[0]
         if surnames:
             done = _marked(text, found)
-            for start, end in self._again(text, surnames):
-                if done.find(1, start, end) < 0 and self.role[text[start:end]] in (0, 3):
+            for start, end in self._again(text, surnames, done):
+                if self.role[text[start:end]] in (0, 3):
                     m = _LEADING.search(text[max(0, start - 12) : start])
                     if m and _SPACE.sub("", m.group() + text[start:end]).lower() in surnames:
                         start -= len(m.group())
@@ -731,8 +880,8 @@ class Extractor:
         return [("person_name", a, b) for a, b in found]
 
     @staticmethod
-    def _again(text: str, surnames: set[str]) -> list[tuple[int, int]]:
-        """Where one of the surnames stands as a capitalised word."""
+    def _again(text: str, surnames: set[str], done: bytearray) -> list[tuple[int, int]]:
+        """Where one of the surnames stands as a capitalised word, outside the names that are marked as done."""
         low = text.lower()
         if len(low) != len(text):  # letters whose small form is longer
             low = "".join([c.lower() if len(c.lower()) == 1 else c for c in text])
@@ -741,7 +890,7 @@ class Extractor:
             size, at = len(surname), low.find(surname)
             while at >= 0:
                 before = text[at - 1 : at]
-                if not (before and before.isalnum()):
+                if done.find(1, at, at + size) < 0 and not (before and before.isalnum()):
                     first = at
                     if before and before in "-‐'’.":  # the word may have begun before
                         first = max(0, at - 1 - len(text[max(0, at - 60) : at].rsplit(None, 1)[-1]))

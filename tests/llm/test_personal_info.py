@@ -113,3 +113,48 @@ def test_context_decides_rare_given_names(corpus):
     text = "The witness Xanthippe Zabriskovic (born 3 March 1970, National Insurance no. QQ 12 34 56 C) produced the lease. In the end Zabriskovic agreed. The Xanthippe Settlement stands."
     assert [text[a:b] for k, a, b in e.find(text) if k == "person_name"] == ["Xanthippe Zabriskovic", "Zabriskovic"]
     assert e.find("Nothing of Xanthippe Zabriskovic here.") == []
+
+
+PIECES = ["A", "Ö", "ö", "'", "’", "-", "‐", ".", "_", ",", " ", " ", " ", "\n", "\r\n", "\xa0", "\t", "1", "12", "4567", "٣", "²", "x", "s", "ß", "McNair", "O'Dray", "von", "van der", "de", "d'", "la", "Le", "Hauptstr.", "Ringstraße", "Hill Road", "rue de", "bis", "the", "AB", "@", "[at]", "( AT )", "<", "\0", "𝟗", "🙂"]
+
+
+def _slow_words(text):
+    return [m.span() for m in op._NAME_PART.finditer(text) if not (m.start() and text[m.start() - 1].isalnum())]
+
+
+def _fast_words(text, words):
+    out, taken = [], 0
+    for start, end in words:
+        m = op._NAME_PART.match(text, start) if start >= taken else None
+        if m:
+            assert end in (-1, m.end())
+            taken = m.end()
+            if not (start and text[start - 1].isalnum()):
+                out.append(m.span())
+        else:
+            assert start < taken or end < 0
+    return out
+
+
+def _fast_matches(pattern, text, starts):
+    out, past = [], 0
+    for at in starts:
+        if at >= past and (m := pattern.match(text, at)):
+            past = m.end()
+            out.append(m.span())
+    return out
+
+
+def test_spots_of_many_texts_are_those_of_the_patterns():
+    rng = random.Random(5)
+    cluster, behind = op.re.compile(r"\d(?<!\d\d)(?:\D{0,3}+\d){4,}+"), op.re.compile(r"[ \n\xa0](?=\d)(?<=[a-zß.\r][ \n\xa0])\d{1,4}+(?!\d)")
+    texts = [ruling(rng)[0] for _ in range(30)] + ["".join(rng.choices(PIECES, k=rng.randint(0, 60))) for _ in range(3000)]
+    assert len(found := op.spots(texts)) == len(texts)
+    for text, s in zip(texts, found):
+        assert s.clusters == [m.span() for m in cluster.finditer(text)]
+        for pattern, starts in ((op._AT, s.signs), (op._STREET_FROM, s.fronts)):
+            assert _fast_matches(pattern, text, starts) == [m.span() for m in pattern.finditer(text)]
+        street = [m.start() + 1 for m in behind.finditer(text) if op._STREETY.f(text[text.rfind(" ", max(0, m.start() - 47), m.start()) + 1 or max(0, m.start() - 47) : m.start()])]
+        assert set(street) <= set(s.behind) <= {m.start() + 1 for m in behind.finditer(text)}
+        assert _fast_words(text, s.words) == _slow_words(text)
+    assert [*op.scans(texts)] == [op.scan(t) for t in texts]
